@@ -97,3 +97,29 @@ def components(ws: Workspace, nodes: DataFrame, edges: DataFrame) -> DataFrame:
             break
         mark = now
     return nodes.select("id").join(pairs.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("m")), "id", "left").select("id", F.coalesce("m", "id").alias("component"))
+
+
+#: Numbers in one row of a dense sum on its way to the driver.
+_CHUNK = 1024
+
+
+def dense_sum(df: DataFrame, per_task, length: int) -> np.ndarray:
+    """The sum over all tasks of a vector of fixed length: per_task(batches) gives one for its task.
+
+    Only `length` numbers reach the driver, however large the input; each task sends its own vector in pieces, which
+    are added up by grouped tasks.
+    """
+
+    def run(batches):
+        total = np.asarray(per_task(batches), np.float64)
+        keep = [k for k in range(0, length, _CHUNK) if total[k : k + _CHUNK].any()]
+        yield pa.RecordBatch.from_arrays([pa.array([k // _CHUNK for k in keep], pa.int32()), pa.array([total[k : k + _CHUNK].tobytes() for k in keep], pa.binary())], names=["chunk", "part"])
+
+    def add(t: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x, np.float64) for x in t["part"].to_pylist())
+        return pa.table({"chunk": pa.array([t["chunk"][0].as_py()], pa.int32()), "part": pa.array([total.tobytes()], pa.binary())})
+
+    out = np.zeros(length)
+    for k, part in df.mapInArrow(run, "chunk int, part binary").groupBy("chunk").applyInArrow(add, "chunk int, part binary").collect():
+        out[k * _CHUNK : k * _CHUNK + len(part) // 8] = np.frombuffer(part, np.float64)
+    return out
