@@ -103,7 +103,7 @@ def components(ws: Workspace, nodes: DataFrame, edges: DataFrame) -> DataFrame:
 _CHUNK = 1024
 
 
-def dense_sum(df: DataFrame, per_task, length: int) -> np.ndarray:
+def dense_sum(df: DataFrame, per_task, length: int, kind=np.float64) -> np.ndarray:
     """The sum over all tasks of a vector of fixed length: per_task(batches) gives one for its task.
 
     Only `length` numbers reach the driver, however large the input; each task sends its own vector in pieces, which
@@ -111,15 +111,49 @@ def dense_sum(df: DataFrame, per_task, length: int) -> np.ndarray:
     """
 
     def run(batches):
-        total = np.asarray(per_task(batches), np.float64)
+        total = np.asarray(per_task(batches), kind)
         keep = [k for k in range(0, length, _CHUNK) if total[k : k + _CHUNK].any()]
         yield pa.RecordBatch.from_arrays([pa.array([k // _CHUNK for k in keep], pa.int32()), pa.array([total[k : k + _CHUNK].tobytes() for k in keep], pa.binary())], names=["chunk", "part"])
 
     def add(t: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x, np.float64) for x in t["part"].to_pylist())
+        total = sum(np.frombuffer(x, kind) for x in t["part"].to_pylist())
         return pa.table({"chunk": pa.array([t["chunk"][0].as_py()], pa.int32()), "part": pa.array([total.tobytes()], pa.binary())})
 
     out = np.zeros(length)
     for k, part in df.mapInArrow(run, "chunk int, part binary").groupBy("chunk").applyInArrow(add, "chunk int, part binary").collect():
-        out[k * _CHUNK : k * _CHUNK + len(part) // 8] = np.frombuffer(part, np.float64)
+        out[k * _CHUNK : k * _CHUNK + len(part) // np.dtype(kind).itemsize] = np.frombuffer(part, kind)
     return out
+
+
+#: Bits of a set of ids that is sent to every task. A fuller set only lets more ids through, which later joins remove.
+BITMAP_BITS = 25
+
+
+def _slot(ids: np.ndarray) -> np.ndarray:
+    return ((ids.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BITMAP_BITS)).astype(np.int64)
+
+
+def id_bitmap(ids: DataFrame) -> np.ndarray:
+    """A superset of the column `id`, in 2 ** BITMAP_BITS bits whatever the number of ids."""
+    chunk = 1 << 13
+
+    def run(batches):
+        bits = np.zeros(1 << BITMAP_BITS, bool)
+        for b in batches:
+            bits[_slot(np.asarray(b["id"]))] = True
+        used = np.flatnonzero(bits.reshape(-1, chunk).any(1))
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array([np.packbits(bits[k * chunk : (k + 1) * chunk]).tobytes() for k in used], pa.binary())], names=["chunk", "part"])
+
+    def either(t: pa.Table) -> pa.Table:
+        out = np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in t["part"].to_pylist()])
+        return pa.table({"chunk": pa.array([t["chunk"][0].as_py()], pa.int32()), "part": pa.array([out.tobytes()], pa.binary())})
+
+    out = np.zeros(1 << (BITMAP_BITS - 3), np.uint8)
+    for k, part in ids.mapInArrow(run, "chunk int, part binary").groupBy("chunk").applyInArrow(either, "chunk int, part binary").collect():
+        out[k * chunk // 8 : (k + 1) * chunk // 8] = np.frombuffer(part, np.uint8)
+    return out
+
+
+def in_bitmap(bitmap: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    at = _slot(ids)
+    return (bitmap[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
