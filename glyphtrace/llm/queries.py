@@ -6,6 +6,7 @@ from importlib import import_module
 
 #: query name: module of this subpackage, whose query() it is; ORACLE is its SQL where SQL can express it.
 MODULES = {
+    "op3_quality_classifier": "quality",
     "op4_nearest_neighbours": "nearest",
     "op7_near_vectors": "near_vectors",
     "op10_language_model": "language_model",
