@@ -48,8 +48,8 @@ def _joined(df: DataFrame, per: DataFrame, small: bool, how: str = "inner") -> D
 
 
 def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.5, most: float = 2.0, salt: str = "") -> DataFrame:
-    """(doc_id, size, source_size, target, taken): how many words of each document the mix takes, in whole copies."""
-    sizes = docs.select(F.col(id_col).alias("doc_id"), F.col("source"), _size().alias("size"))
+    """(doc_id, size, source_size, target, taken, copies, row): how many words of each document the mix takes, in whole copies; row is the document."""
+    sizes = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col(id_col).alias("doc_id"), F.col("source"), _size().alias("size"))
     per = source_targets(sizes, weights, share, most)
     small = per.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
@@ -81,19 +81,18 @@ def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", weights: tuple[float
     chosen = F.when(F.col("rank").isNull(), False).when(F.col("e1").isNull() | (F.col("r1") < F.col("e1")), True).when(F.col("r1") > F.col("e1"), False)
     chosen = chosen.when(F.col("e2").isNull() | (F.col("r2") < F.col("e2")), True).when(F.col("r2") > F.col("e2"), False)
     chosen = chosen.otherwise(F.coalesce(F.struct("rank", "doc_id") <= F.col("last"), F.lit(False)))
-    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * (F.col("whole") + chosen.cast("long"))).alias("taken"), (F.col("whole") + chosen.cast("long")).alias("copies"))
+    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * (F.col("whole") + chosen.cast("long"))).alias("taken"), (F.col("whole") + chosen.cast("long")).alias("copies"), "row")
 
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: the rows of documents, each as often as it is taken."""
-    taken = mix_sources(docs, **options).select(F.col("doc_id").alias("_id"), "copies").filter("copies > 0").distinct()
-    out = docs.join(taken, docs[options.get("id_col", "doc_id")] == F.col("_id"))
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*[docs[c] for c in docs.columns])
+    rows = mix_sources(docs, **options).filter("copies > 0")
+    return rows.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")).select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix_sources(table(spark, sf_dir, "documents")).drop("copies")
+    return mix_sources(table(spark, sf_dir, "documents")).drop("copies", "row")
 
 
 ORACLE = r"""

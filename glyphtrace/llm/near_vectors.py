@@ -52,14 +52,14 @@ def link_vectors(df: DataFrame, *, id_col: str = "vec_id", vector_col: str = "em
                 ids = np.asarray(b["id"])[rows]
                 signature = pa.FixedSizeListArray.from_arrays(pa.array(near.astype(np.int32).repeat(near.shape[1], 0).ravel()), near.shape[1]).cast(pa.list_(pa.int32()))
                 raw = [x.tobytes() for x in m]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(near.size, d, np.int32)), pa.array(near.astype(np.int32).ravel()), pa.array(ids.repeat(near.shape[1])), signature, pa.array([x for x in raw for _ in range(near.shape[1])], pa.binary())], names=["dim", "pivot", "id", "near", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(near.size, d, np.int32)), pa.array(near.astype(np.int32).ravel()), pa.array(ids.repeat(near.shape[1])), pa.array(np.asarray(b["n"])[rows].repeat(near.shape[1])), signature, pa.array([x for x in raw for _ in range(near.shape[1])], pa.binary())], names=["dim", "pivot", "id", "n", "near", "v"])
 
-    index = ws.keep(classes.select("id", "v").mapInArrow(describe, "dim int, pivot int, id long, near array<int>, v binary"))
+    index = ws.keep(classes.select("id", "n", "v").mapInArrow(describe, "dim int, pivot int, id long, n long, near array<int>, v binary"))
     lists = index.groupBy("dim", "pivot").agg(F.count("*").alias("size")).withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
     own = index.join(F.broadcast(lists), ["dim", "pivot"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))  # a row for each pivot
     # block i meets block j in the task (i, j), i <= j
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    dealt = own.select("*", other).select("dim", "pivot", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") <= F.col("other")).alias("left"), "block", "id", "near", "v")
+    dealt = own.select("*", other).select("dim", "pivot", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "n", "near", "v")
     enough = shared
 
     def verify(t: pa.Table) -> pa.Table:
@@ -81,13 +81,22 @@ def link_vectors(df: DataFrame, *, id_col: str = "vec_id", vector_col: str = "em
         first = np.where(common.any(2), near[x], np.iinfo(np.int32).max).min(1) if len(x) else np.zeros(0)
         keep = (dot >= threshold) & (common.any(2).sum(1) >= min(enough, near.shape[1])) & (first == pivot)  # a pair is told once, under its smallest shared pivot
         x, y = x[keep], y[keep]
-        return pa.table({"a": pa.array(np.minimum(ids[x], ids[y])), "b": pa.array(np.maximum(ids[x], ids[y]))})
+        # per vector: how many others it links with here, and one edge that keeps what is linked together
+        n = np.asarray(t["n"])
+        others = np.bincount(x, n[y], len(ids)) + np.bincount(y, n[x], len(ids))
+        label = ids.copy()
+        while True:
+            before = label.copy()
+            np.minimum.at(label, x, label[y])
+            np.minimum.at(label, y, label[x])
+            if (label == before).all():
+                break
+        told = np.flatnonzero(others)
+        return pa.table({"a": pa.array(ids[told]), "b": pa.array(label[told]), "others": pa.array(others[told].astype(np.int64))})
 
-    links = ws.keep(dealt.drop("left").groupBy("dim", "pivot", "i", "j").applyInArrow(verify, "a long, b long"))
+    links = ws.keep(dealt.groupBy("dim", "pivot", "i", "j").applyInArrow(verify, "a long, b long, others long"))
     comp = components(ws, classes.select("id"), links)
-    size = classes.select(F.col("id").alias("b"), "n")
-    both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    degree = both.join(size, "b").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("others"))
+    degree = links.groupBy(F.col("a").alias("rep")).agg(F.sum("others").alias("others"))
     found = members.join(degree, "rep", "left").join(comp.select(F.col("id").alias("rep"), "component"), "rep")
     found = found.select(F.col("id").alias("vec_id"), (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.col("component").alias("component_id"))
     alone = df.select(F.col(id_col).alias("vec_id")).join(members.select(F.col("id").alias("vec_id")), "vec_id", "left_anti").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))

@@ -1,6 +1,6 @@
 """A quality classifier from weak labels.
 
-Overlapping heuristic labellers vote reject, keep or abstain on every document, in two families: junk (symbols, tables,
+Overlapping heuristic labellers vote reject or abstain on every document, in two families: junk (symbols, tables,
 repetition, shouting, rhythm) and toxicity (insults, and words and word beginnings that a bounded sample of labelled
 rows shows to be typical). For each family, expectation-maximisation over how often every pattern of votes occurs in all
 documents estimates the labellers' accuracies without labels; the posterior of a document's pattern is its soft label.
@@ -25,7 +25,7 @@ from glyphtrace.llm.kernels import _BYTE, _BYTES, Words, mix, ragged
 
 #: Common insults, the seed of the toxic family.
 INSULTS = ["idiot", "moron", "stupid", "pathetic", "disgusting", "worthless", "loser", "scum", "trash", "clown", "imbecile", "retard", "bastard", "asshole", "bitch", "whore", "slut", "dumbass", "jackass", "scumbag"]
-BITS = 16
+BITS = 18
 SIZE = 1 << BITS
 JUNK, TOXIC = 6, 3
 
@@ -41,8 +41,12 @@ _LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
 def _spans(w: Words, start: np.ndarray, end: np.ndarray, kind: int) -> np.ndarray:
     if not len(start):
-        return np.zeros(0, np.int64)
-    return (mix(_BYTES.slices(_BYTE[w.raw], start, end) + np.uint64(kind)) >> np.uint64(64 - BITS)).astype(np.int64)
+        return np.zeros(0, np.uint64)
+    return mix(_BYTES.slices(_BYTE[w.raw], start, end) + np.uint64(kind))
+
+
+def _bucket(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(64 - BITS)).astype(np.int64)
 
 
 class Batch:
@@ -55,8 +59,9 @@ class Batch:
         for _ in range(3):  # words without the punctuation at their ends
             end -= (end - start > 1) & _PUNCT[w.raw[end - 1]]
         self.text = w.text_of_word()
-        self.whole = _spans(w, start, end, 1)
-        self.begin = _spans(w, start, np.minimum(start + 6, end), 2)
+        self.exact = _spans(w, start, end, 1)
+        self.whole = _bucket(self.exact)
+        self.begin = _bucket(_spans(w, start, np.minimum(start + 6, end), 2))
         total = np.maximum(self.n, 1)
 
         def share(flags) -> np.ndarray:
@@ -92,52 +97,39 @@ class Batch:
         if bins:
             level = np.digitize(self.stats, [0.005, 0.02, 0.05, 0.1, 0.2, 0.35, 0.6])
             for k in range(self.stats.shape[1]):
-                out.append((np.arange(self.texts), (mix((level[:, k] + 16 * (k + 1)).astype(np.uint64)) >> np.uint64(64 - BITS)).astype(np.int64), np.ones(self.texts)))
+                out.append((np.arange(self.texts), _bucket(mix((level[:, k] + 16 * (k + 1)).astype(np.uint64))), np.ones(self.texts)))
         return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
 def _votes(b: Batch, lexicon: dict) -> np.ndarray:
-    """1 reject, -1 keep, 0 abstain, of each labeller on each text."""
-
-    def vote(x, reject, keep):
-        return np.where(reject(x), 1, np.where(keep(x), -1, 0))
+    """1 reject or 0 abstain of each labeller on each text: a labeller looks for one flaw and has no opinion where it finds none."""
 
     s = b.stats.T
-    long = b.n >= 8
-    bigger = lambda t: lambda x: x > t
-    smaller = lambda t: lambda x: x < t
     junk = [
-        vote(s[0], bigger(0.15), smaller(0.03)),
-        vote(s[1], bigger(0.08), smaller(0.01)),
-        vote(s[2], bigger(0.15), smaller(0.04)),
-        vote(s[3], bigger(0.4), smaller(0.1)),
-        np.where(long, vote(s[4] * np.sqrt(b.n), smaller(1.5), bigger(3.0)), 0),
-        np.where(b.n >= 60, vote(s[5], smaller(0.004), bigger(0.02)), 0),
+        s[0] > 0.15,
+        s[1] > 0.08,
+        s[2] > 0.15,
+        s[3] > 0.4,
+        (b.n >= 8) & (s[4] * np.sqrt(b.n) < 1.5),
+        (b.n >= 60) & (s[5] < 0.004),
     ]
-    n = np.maximum(b.n, 1)
     count = lambda flags, of: np.bincount(b.text, flags[of], b.texts) if len(of) else np.zeros(b.texts)
-    seed = count(lexicon["seed"], b.whole)
-    toxic = [np.where(seed >= 1, 1, -1)]
+    toxic = [np.bincount(b.text, np.isin(b.exact, lexicon["seed"]), b.texts) >= 1, np.zeros(b.texts, bool), np.zeros(b.texts, bool)]
     if lexicon["labelled"]:
-        words, starts = count(lexicon["words"], b.whole), count(lexicon["begin"], b.begin)
-        toxic.append(np.where(words >= 1, 1, -1))
-        toxic.append(np.where((starts >= 2) & (starts / n > 0.008), 1, np.where(starts / n < 0.003, -1, 0)))
-    else:
-        toxic += [np.zeros(b.texts, np.int64)] * 2
+        starts, usual = count(lexicon["begin"], b.begin), lexicon["usual"] * b.n
+        toxic[1:] = [count(lexicon["words"], b.whole) >= 1, (starts >= 2) & (starts > usual + 2.33 * np.sqrt(usual) + 1)]
     return np.stack(junk + toxic, 1).astype(np.int64)
 
 
 def learn_lexicon(labelled: DataFrame | None) -> dict:
     """Hashed words and beginnings that toxic rows of the labelled sample hold far more often than others."""
-    seed = np.zeros(SIZE)
-    w = Batch(pa.array(INSULTS))
-    seed[w.whole] = 1
-    empty = {"seed": seed, "words": np.zeros(SIZE), "begin": np.zeros(SIZE), "labelled": False}
+    seed = np.unique(Batch(pa.array(INSULTS)).exact)
+    empty = {"seed": seed, "words": np.zeros(SIZE), "begin": np.zeros(SIZE), "usual": 0.0, "labelled": False}
     if labelled is None:
         return empty
 
     def run(batches):
-        out = np.zeros((2, 4, SIZE))  # by class: documents with the word, words, documents with the beginning, beginnings
+        out = np.zeros((2, 5, SIZE))  # by class: documents with the word, words, documents with the beginning, beginnings, words of those documents
         for part in slices(batches):
             b = Batch(part["text"])
             toxic = np.asarray(part["toxic"]).astype(np.int64)
@@ -147,31 +139,39 @@ def learn_lexicon(labelled: DataFrame | None) -> dict:
                 for c in (0, 1):
                     out[c, 2 * k] += np.bincount(key[t == c] % SIZE, minlength=SIZE)
                     out[c, 2 * k + 1] += np.bincount(key[t == c] % SIZE, n[t == c], SIZE)
+                    if k:
+                        out[c, 4] += np.bincount(key[t == c] % SIZE, b.n[key[t == c] // SIZE], SIZE)
         return out.ravel()
 
-    clean, toxic = dense_sum(labelled, run, 8 * SIZE).reshape(2, 4, SIZE)
+    clean, toxic = dense_sum(labelled, run, 10 * SIZE).reshape(2, 5, SIZE)
     if not toxic[1].sum() or not clean[1].sum():
         return empty
     rate = lambda x, k: x[k] / max(x[k].sum(), 1)
     words = (toxic[0] >= 5) & (rate(toxic, 1) > 40 * (rate(clean, 1) + 0.5 / max(clean[1].sum(), 1))) & (clean[0] <= 0.02 * toxic[0])
     expected = rate(clean, 3) * toxic[3].sum()
     begin = (toxic[2] >= 8) & (toxic[3] > 3 * expected) & (toxic[3] - expected > 8 * np.sqrt(expected + 1)) & (rate(toxic, 3) > 5e-5)
-    return {"seed": seed, "words": words.astype(float), "begin": begin.astype(float), "labelled": True}
+    return {"seed": seed, "words": words.astype(float), "begin": begin.astype(float), "usual": float(clean[3][begin].sum() / max(clean[4][begin].sum(), 1)), "labelled": True}
 
 
-def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: int = 60) -> np.ndarray:
-    """The posterior of reject for each pattern of votes, labellers being independent given the class."""
+def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100, most_wrong: float = 0.002) -> np.ndarray:
+    """The posterior of reject for each pattern of votes, labellers being independent given the class.
+
+    most_wrong bounds how often a labeller is taken to fire on a clean document; without it, two labellers that often
+    fire together would make up a class of their own and the others' votes would count as noise.
+    """
     n, k = patterns.shape
     post = np.where((patterns == 1).any(1), 0.9, 0.05)
     for _ in range(rounds):
         prior = np.clip((counts * post).sum() / max(counts.sum(), 1), 1e-4, 0.5)
         ratio = np.full(n, np.log(prior / (1 - prior)))
         for j in range(k):
-            hits = np.stack([(patterns[:, j] == v) for v in (-1, 0, 1)])
-            one = (hits * counts * post).sum(1) + [0.5, 0.5, 1.0]
-            two = (hits * counts * (1 - post)).sum(1) + [1.0, 0.5, 0.01]
+            hits = np.stack([(patterns[:, j] == v) for v in (0, 1)])
+            one = (hits * counts * post).sum(1) + [1.0, 1.0]
+            two = (hits * counts * (1 - post)).sum(1) + [1.0, 0.01]
             one, two = one / one.sum(), two / two.sum()
-            if one[2] < two[2]:  # a labeller may be useless, not inverted
+            wrong = min(two[1], most_wrong)
+            two = np.array([1 - wrong, wrong])
+            if one[1] < two[1]:  # a labeller may be useless, not inverted
                 one = two
             ratio += (hits * (np.log(one) - np.log(two))[:, None]).sum(0)
         new = 1 / (1 + np.exp(-np.clip(ratio, -30, 30)))
@@ -210,8 +210,8 @@ def _train(features: DataFrame, target: str, steps: int = 30) -> np.ndarray:
     return weights
 
 
-def classify(docs: DataFrame, labels: DataFrame | None = None, *, labelled_docs: int = 20000, train_docs: int = 20000, threshold: float = 0.5) -> DataFrame:
-    """doc_id, junk, toxic (the scorer's probabilities) and keep of every document."""
+def fit(docs: DataFrame, labels: DataFrame | None = None, *, labelled_docs: int = 20000, train_docs: int = 20000):
+    """A broadcast pair of weights (junk, toxic) of the hashed scorer."""
     spark = docs.sparkSession
     ws = Workspace(spark)
     docs = docs.select("doc_id", "text")
@@ -229,17 +229,17 @@ def classify(docs: DataFrame, labels: DataFrame | None = None, *, labelled_docs:
     def vote(batches):
         for part in slices(batches):
             votes = _votes(Batch(part["text"]), lexicon.value)
-            yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array((votes + 1) @ 3 ** np.arange(JUNK + TOXIC)), part["picked"]], names=["doc_id", "pattern", "picked"])
+            yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(votes @ 2 ** np.arange(JUNK + TOXIC)), part["picked"]], names=["doc_id", "pattern", "picked"])
 
-    voted = docs.withColumn("picked", picked).mapInArrow(vote, "doc_id long, pattern long, picked boolean").groupBy("pattern").count().collect()  # 3 ** 9 rows at most
+    voted = docs.withColumn("picked", picked).mapInArrow(vote, "doc_id long, pattern long, picked boolean").groupBy("pattern").count().collect()  # 2 ** 9 rows at most
     codes, counts = np.array([r[0] for r in voted], np.int64), np.array([r[1] for r in voted], float)
-    votes = codes[:, None] // 3 ** np.arange(JUNK + TOXIC) % 3 - 1
+    votes = codes[:, None] // 2 ** np.arange(JUNK + TOXIC) % 2
     soft = {int(c): (float(a), float(b)) for c, a, b in zip(codes, expectation_maximisation(votes[:, :JUNK], counts), expectation_maximisation(votes[:, JUNK:], counts), strict=True)}
 
     def sample(batches):
         for part in slices(batches):
             b = Batch(part["text"])
-            code = (_votes(b, lexicon.value) + 1) @ 3 ** np.arange(JUNK + TOXIC)
+            code = _votes(b, lexicon.value) @ 2 ** np.arange(JUNK + TOXIC)
             t, f, v = b.features()
             order = np.argsort(t, kind="stable")
             size = np.bincount(t, minlength=b.texts)
@@ -247,20 +247,39 @@ def classify(docs: DataFrame, labels: DataFrame | None = None, *, labelled_docs:
             yield pa.RecordBatch.from_arrays([ragged(f[order].astype(np.int32), size), ragged(v[order].astype(np.float32), size), pa.array(labels[:, 0]), pa.array(labels[:, 1])], names=["feature", "value", "junk", "toxic"])
 
     features = ws.keep(docs.filter(picked).mapInArrow(sample, "feature array<int>, value array<float>, junk double, toxic double"))
-    weights = spark.sparkContext.broadcast((_train(features, "junk"), _train(features, "toxic")))
+    weights = _train(features, "junk"), _train(features, "toxic")
+    ws.drop(*range(len(ws.paths)))
+    return spark.sparkContext.broadcast(weights)
+
+
+def _probabilities(b: Batch, weights) -> tuple[np.ndarray, np.ndarray]:
+    t, f, v = b.features()
+    junk, toxic = (1 / (1 + np.exp(-np.clip(np.bincount(t, w[f] * v, b.texts) + w[SIZE], -30, 30))) for w in weights)
+    return np.where(b.n == 0, 1.0, junk), toxic
+
+
+def classify(docs: DataFrame, labels: DataFrame | None = None, *, threshold: float = 0.5, **bounds) -> DataFrame:
+    """doc_id, junk, toxic (the scorer's probabilities) and keep of every document."""
+    weights = fit(docs, labels, **bounds)
 
     def score(batches):
         for part in slices(batches):
-            b = Batch(part["text"])
-            t, f, v = b.features()
-            out = []
-            for w in weights.value:
-                z = np.bincount(t, w[f] * v, b.texts) + w[SIZE]
-                out.append(1 / (1 + np.exp(-np.clip(z, -30, 30))))
-            out[0] = np.where(b.n == 0, 1.0, out[0])
-            yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(out[0]), pa.array(out[1]), pa.array((out[0] < threshold) & (out[1] < threshold))], names=["doc_id", "junk", "toxic", "keep"])
-
-    return ws.result(docs.mapInArrow(score, "doc_id long, junk double, toxic double, keep boolean"))
+            junk, toxic = _probabilities(Batch(part["text"]), weights.value)
+            yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(junk), pa.array(toxic), pa.array((junk < threshold) & (toxic < threshold))], names=["doc_id", "junk", "toxic", "keep"])
+
+    return docs.select("doc_id", "text").mapInArrow(score, "doc_id long, junk double, toxic double, keep boolean")
+
+
+def keep_documents(docs: DataFrame, labels: DataFrame | None = None, *, threshold: float = 0.5, **bounds) -> DataFrame:
+    """The rows of docs, all columns, that the classifier keeps."""
+    weights = fit(docs, labels, **bounds)
+
+    def run(batches):
+        for part in slices(batches):
+            junk, toxic = _probabilities(Batch(part["text"]), weights.value)
+            yield part.filter(pa.array((junk < threshold) & (toxic < threshold)))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,12 +6,16 @@ from importlib import import_module
 
 #: query name: module of this subpackage, whose query() it is; ORACLE is its SQL where SQL can express it.
 MODULES = {
+    "op1_shingle_join": "shingle_join",
+    "op2_substring_dedup": "substring_dedup",
     "op3_quality_classifier": "quality",
     "op4_nearest_neighbours": "nearest",
-    "op7_near_vectors": "near_vectors",
-    "op10_language_model": "language_model",
     "op5_best_fit_packing": "packing",
     "op6_source_mixing": "mixing",
+    "op7_near_vectors": "near_vectors",
+    "op8_repeated_bytes": "suffix_dedup",
+    "op9_licences": "licences",
+    "op10_language_model": "language_model",
 }
 
 

@@ -119,7 +119,7 @@ def jaccard_classes(docs: DataFrame, *, id_col: str = "doc_id", shingle: int = 4
                 start[0] = False
             head = np.flatnonzero(start)
             of = np.cumsum(start) - 1
-            row = {c: np.concatenate([[h], x]) for c, h, x in zip(("id", "n", "pos"), hub or (0, 0, 0), (i, n, p), strict=True)}
+            row = {c: np.concatenate([[h], x]) for c, h, x in zip(("id", "n", "pos"), hub[:3] if hub else (0, 0, 0), (i, n, p), strict=True)}
             at_hub = np.where(of >= 0, head[np.maximum(of, 0)] + 1 if len(head) else 0, 0)
             before = np.concatenate([[last if last is not None else 0], i[:-1]])
             rows = np.flatnonzero(~start)
@@ -127,7 +127,7 @@ def jaccard_classes(docs: DataFrame, *, id_col: str = "doc_id", shingle: int = 4
             if len(rows) and rows[0] == 0 and hub is not None and hub[3]:
                 second = np.concatenate([[0], second])
             h = at_hub[second]
-            out = [np.concatenate([t[second], t[rows]]), np.concatenate([row["id"][h], i[rows]]), np.concatenate([row["n"][h], n[rows]]), np.concatenate([row["pos"][h], p[rows]]), np.concatenate([row["id"][h], row["id"][at_hub[rows]]]), np.concatenate([row["id"][h], before[rows]])]
+            out = [np.concatenate([t[second], t[rows]]), np.concatenate([row["id"][h], i[rows]]), np.concatenate([row["n"][h], n[rows]]), np.concatenate([row["pos"][h], p[rows]]).astype(np.int32), np.concatenate([row["id"][h], row["id"][at_hub[rows]]]), np.concatenate([row["id"][h], before[rows]])]
             if len(rows):
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=["token", "id", "n", "pos", "hub", "before"])
             if len(head):
