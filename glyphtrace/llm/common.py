@@ -13,8 +13,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows of one Arrow batch; texts are long, and Spark's own default holds ten thousand of them at once.
+BATCH_ROWS = 1000
 #: UTF-8 bytes of text that one numpy pass works on; what a pass holds in memory is a fixed multiple of it.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 512 << 10
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,12 +40,16 @@ class Workspace:
     """
 
     def __init__(self, spark: SparkSession):
+        if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
         self.spark, self.at, self.paths = spark, f"{shared_folder(spark)}/glyphtrace-{uuid.uuid4().hex}", []
 
     def keep(self, df: DataFrame) -> DataFrame:
         path = f"{self.at}/{len(self.paths)}"
         self.paths.append(path)
         df.write.parquet(path)
+        # Spark deletes the shuffle files of finished work once the driver has collected what refers to them
+        self.spark.sparkContext._jvm.System.gc()
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *frames_before: int) -> None:
