@@ -160,7 +160,9 @@ def jaccard_classes(docs: DataFrame, *, id_col: str = "doc_id", shingle: int = 4
                     yield pa.RecordBatch.from_arrays([b["doc_id"].take(pa.array(key // fragments)), pa.array((key % fragments).astype(np.int32)), ragged(signed(rank), size)], names=["id", "fragment", "part"])
 
         cut = ws.keep(docs.filter("doc_id is not null").mapInArrow(segments, "id long, fragment int, part array<long>"))
-        one = close.join(cut.select(F.col("id").alias("a"), "fragment", F.col("part").alias("x")), "a")
+        # both sides are dealt by document and fragment, so the segments are shuffled once
+        some = close.withColumn("fragment", F.explode(F.array(*[F.lit(k) for k in range(fragments)])))
+        one = some.join(cut.select(F.col("id").alias("a"), "fragment", F.col("part").alias("x")), ["a", "fragment"])
         two = one.join(cut.select(F.col("id").alias("b"), "fragment", F.col("part").alias("y")), ["b", "fragment"])
         overlap = two.select("a", "b", "na", "nb", "fragment", F.size(F.array_intersect("x", "y")).alias("common"))
         overlap = overlap.groupBy("a", "b", "na", "nb", "fragment").agg(F.max("common").alias("common")).groupBy("a", "b", "na", "nb").agg(F.sum("common").alias("common"))
