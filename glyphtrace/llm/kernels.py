@@ -72,7 +72,7 @@ class Words:
 
     def __init__(self, column, lower: bool = False):
         raw, offsets = utf8(column)
-        self.raw = _LOWER[raw] if lower else raw
+        self.original, self.raw = raw, _LOWER[raw] if lower else raw
         self.offsets = offsets
         inside = np.zeros(len(raw) + 2, bool)
         inside[1:-1] = ~_SEPARATOR[raw]

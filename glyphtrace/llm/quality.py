@@ -25,7 +25,7 @@ from glyphtrace.llm.kernels import _BYTE, _BYTES, Words, mix, ragged
 
 #: Common insults, the seed of the toxic family.
 INSULTS = ["idiot", "moron", "stupid", "pathetic", "disgusting", "worthless", "loser", "scum", "trash", "clown", "imbecile", "retard", "bastard", "asshole", "bitch", "whore", "slut", "dumbass", "jackass", "scumbag"]
-BITS = 18
+BITS = 17
 SIZE = 1 << BITS
 JUNK, TOXIC = 6, 3
 
@@ -53,7 +53,8 @@ class Batch:
     """Hashed features and word statistics of a batch of texts."""
 
     def __init__(self, column):
-        plain, w = Words(column), Words(column, lower=True)
+        w = Words(column, lower=True)
+        raw = w.original
         self.words, self.texts, self.n = w, len(w.first) - 1, w.count
         start, end = w.start, w.end.copy()
         for _ in range(3):  # words without the punctuation at their ends
@@ -67,17 +68,19 @@ class Batch:
         def share(flags) -> np.ndarray:
             return np.bincount(self.text, flags, self.texts) / total
 
-        first, last = plain.raw[plain.start], plain.raw[plain.end - 1]
-        symbols = np.concatenate([[0], np.cumsum(_SYMBOL[plain.raw])])
-        upper = np.concatenate([[0], np.cumsum(_UPPER[plain.raw])])
-        letters = np.concatenate([[0], np.cumsum(_LETTER[plain.raw])])
-        span = lambda c: c[plain.end] - c[plain.start]
+        first, last = raw[w.start], raw[w.end - 1]
+        symbols = np.concatenate([[0], np.cumsum(_SYMBOL[raw], dtype=np.int32)])
+        upper = np.concatenate([[0], np.cumsum(_UPPER[raw], dtype=np.int32)])
+        letters = np.concatenate([[0], np.cumsum(_LETTER[raw], dtype=np.int32)])
+        span = lambda c: c[w.end] - c[w.start]
         same = np.zeros(len(self.text), bool)
         same[1:] = (w.hash[1:] == w.hash[:-1]) & (self.text[1:] == self.text[:-1])
         pairs = np.sort((self.text.astype(np.uint64) << np.uint64(44)) | (w.hash >> np.uint64(20)))
-        distinct = np.bincount((pairs[np.concatenate([[True], pairs[1:] != pairs[:-1]])] >> np.uint64(44)).astype(np.int64), minlength=self.texts) if len(pairs) else np.zeros(self.texts)
-        lone = (plain.end - plain.start == 1) & _SYMBOL[first]
-        ends = (last == 46) | (last == 63) | ((last == 33) & (span(np.concatenate([[0], np.cumsum(plain.raw == 33)])) == 1))
+        head = np.ones(len(pairs), bool)
+        head[1:] = pairs[1:] != pairs[:-1]
+        distinct = np.bincount((pairs[head] >> np.uint64(44)).astype(np.int64), minlength=self.texts)
+        lone = (w.end - w.start == 1) & _SYMBOL[first]
+        ends = (last == 46) | (last == 63) | ((last == 33) & (span(np.concatenate([[0], np.cumsum(raw == 33, dtype=np.int32)])) == 1))
         self.stats = np.stack([
             share((span(symbols) >= 2) & ~lone),  # words with symbols
             share(lone),  # cells of tables
@@ -143,7 +146,7 @@ def learn_lexicon(labelled: DataFrame | None) -> dict:
                         out[c, 4] += np.bincount(key[t == c] % SIZE, b.n[key[t == c] // SIZE], SIZE)
         return out.ravel()
 
-    clean, toxic = dense_sum(labelled, run, 10 * SIZE).reshape(2, 5, SIZE)
+    clean, toxic = dense_sum(labelled, run, 10 * SIZE, np.float32).reshape(2, 5, SIZE)
     if not toxic[1].sum() or not clean[1].sum():
         return empty
     rate = lambda x, k: x[k] / max(x[k].sum(), 1)
@@ -175,35 +178,35 @@ def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: i
                 one = two
             ratio += (hits * (np.log(one) - np.log(two))[:, None]).sum(0)
         new = 1 / (1 + np.exp(-np.clip(ratio, -30, 30)))
-        if np.abs(new - post).max() < 1e-6:
+        if np.abs(new - post).max(initial=0) < 1e-6:
             break
         post = new
     return post
 
 
-def _train(features: DataFrame, target: str, steps: int = 30) -> np.ndarray:
-    """Weights of the hashed scorer, the last one its bias, by full-batch adaptive gradient steps."""
-    weights, seen = np.zeros(SIZE + 1), np.full(SIZE + 1, 1e-8)
+def _train(features: DataFrame, steps: int = 24) -> np.ndarray:
+    """Weights of the hashed scorers for junk and for toxicity, each with its bias last, by full-batch adaptive gradient steps."""
+    weights, seen = np.zeros((2, SIZE + 1)), np.full((2, SIZE + 1), 1e-8)
     for step in range(steps):
         shared = features.sparkSession.sparkContext.broadcast(weights)
 
         def gradient(batches, shared=shared):
-            g = np.zeros(SIZE + 2)
-            w = shared.value
+            g, n = np.zeros((2, SIZE + 1)), 0
             for b in batches:
                 if not b.num_rows:
                     continue
                 rows = np.repeat(np.arange(b.num_rows), np.asarray(b["feature"].value_lengths()))
                 f, v = np.asarray(b["feature"].flatten()), np.asarray(b["value"].flatten())
-                z = np.bincount(rows, w[f] * v, b.num_rows) + w[SIZE]
-                d = np.asarray(b[target]) - 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-                g[:SIZE] += np.bincount(f, d[rows] * v, SIZE)
-                g[SIZE] += d.sum()
-                g[SIZE + 1] += b.num_rows
-            return g
-
-        g = dense_sum(features, gradient, SIZE + 2)
-        g = g[:-1] / max(g[-1], 1) - 1e-6 * weights
+                n += b.num_rows
+                for k, target in enumerate(("junk", "toxic")):
+                    z = np.bincount(rows, shared.value[k][f] * v, b.num_rows) + shared.value[k][SIZE]
+                    d = np.asarray(b[target]) - 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+                    g[k, :SIZE] += np.bincount(f, d[rows] * v, SIZE)
+                    g[k, SIZE] += d.sum()
+            return np.append(g.ravel(), n)
+
+        total = dense_sum(features, gradient, 2 * (SIZE + 1) + 1, np.float32)
+        g = total[:-1].reshape(2, SIZE + 1) / max(total[-1], 1) - 1e-6 * weights
         seen += g * g
         weights += (1.0 if step else 0.5) * g / np.sqrt(seen)
         shared.unpersist()
@@ -221,7 +224,7 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, *, labelled_docs: int
         known = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
         share = min(1.0, labelled_docs / max(known.count(), 1))
         known = known.filter(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 20)) < int(share * (1 << 20)))
-        labelled = ws.keep(docs.join(known, "doc_id").select("text", "toxic"))
+        labelled = ws.keep(docs.join(known, "doc_id").select("text", "toxic").coalesce(3))
     lexicon = spark.sparkContext.broadcast(learn_lexicon(labelled))
     share = min(1.0, train_docs / max(n, 1))
     picked = F.pmod(F.xxhash64("doc_id", F.lit(4)), F.lit(1 << 20)) < int(share * (1 << 20))
@@ -246,8 +249,8 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, *, labelled_docs: int
             labels = np.array([soft[int(c)] for c in code]).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([ragged(f[order].astype(np.int32), size), ragged(v[order].astype(np.float32), size), pa.array(labels[:, 0]), pa.array(labels[:, 1])], names=["feature", "value", "junk", "toxic"])
 
-    features = ws.keep(docs.filter(picked).mapInArrow(sample, "feature array<int>, value array<float>, junk double, toxic double"))
-    weights = _train(features, "junk"), _train(features, "toxic")
+    features = ws.keep(docs.filter(picked).mapInArrow(sample, "feature array<int>, value array<float>, junk double, toxic double").coalesce(3))  # a bounded sample
+    weights = _train(features)
     ws.drop(*range(len(ws.paths)))
     return spark.sparkContext.broadcast(weights)
 
