@@ -78,19 +78,23 @@ def repeated_starts(ws: Workspace, docs: DataFrame, *, window: int = 400, gram:
             n = np.diff(offsets)
             g, rep = _representatives(raw, offsets, window, gram)
             at = np.unique(rep[rep >= 0])
-            text = np.searchsorted(offsets, at, side="right") - 1
+            # each hash once per text, with how often it stands there
+            order = np.lexsort((g[at], np.searchsorted(offsets, at, side="right")))
+            h, text = g[at][order], np.searchsorted(offsets, at[order], side="right") - 1
+            head = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (text[1:] != text[:-1])])) if len(h) else np.zeros(0, np.int64)
+            times, size = np.diff(np.append(head, len(h))), np.bincount(text[head], minlength=len(n))
             data = raw.tobytes()
             digest = [hashlib.sha256(data[x:y]).digest() for x, y in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b["id"], b["doc_id"], pa.array(n), pa.array(digest, pa.binary()), ragged(signed(g[at]), np.bincount(text, minlength=len(n)))], names=["id", "doc_id", "n", "sha", "fps"])
+            yield pa.RecordBatch.from_arrays([b["id"], b["doc_id"], pa.array(n), pa.array(digest, pa.binary()), ragged(signed(h[head]), size), ragged(times.astype(np.int32), size)], names=["id", "doc_id", "n", "sha", "fps", "times"])
 
-    all_ = ws.keep(docs.mapInArrow(describe, "id long, doc_id long, n long, sha binary, fps array<long>"))
+    all_ = ws.keep(docs.mapInArrow(describe, "id long, doc_id long, n long, sha binary, fps array<long>, times array<int>"))
     copies = all_.filter(F.col("n") >= window).groupBy("sha").agg(F.min("id").alias("first"), F.count("*").alias("copies"))
     known = ws.keep(all_.select("id", "doc_id", "n", "sha").join(copies, "sha", "left").select("id", "doc_id", "n", F.lower(F.hex("sha")).alias("sha"), (F.coalesce("copies", F.lit(1)) > 1).alias("all"), F.coalesce(F.col("first") == F.col("id"), F.lit(False)).alias("first")))
     # one text of each class, which counts as two if it has copies: then what it shares with others is repeated anyway
     members = known.filter("first").select("id", "all")
-    fps = all_.select("id", "fps").join(members, "id").select("id", "all", F.explode("fps").alias("fp"))
-    twice = fps.groupBy("fp").agg(F.count("*").alias("c"), F.max("all").alias("all")).filter("c > 1").select("fp")
-    live = ws.keep(fps.join(twice, "fp").groupBy("id", "all").agg(F.collect_set("fp").alias("live")))
+    fps = all_.select("id", "fps", "times").join(members, "id").select("id", "all", F.explode(F.arrays_zip("fps", "times")).alias("x")).select("id", "all", F.col("x.fps").alias("fp"), F.col("x.times").alias("times"))
+    twice = fps.groupBy("fp").agg(F.sum("times").alias("c")).filter("c > 1").select("fp")
+    live = ws.keep(fps.join(twice, "fp").groupBy("id", "all").agg(F.collect_list("fp").alias("live")))
 
     def texts_of(ids: DataFrame) -> DataFrame:
         wanted = spark.sparkContext.broadcast(id_bitmap(ids.select("id")))  # fixed size
