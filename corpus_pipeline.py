@@ -32,11 +32,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Strings of 400 bytes that stand anywhere else too are cut out; documents of which nothing is left go."""
-    cut = remove_repeated_bytes(docs).filter("n_removed > 0").select(F.col("doc_id").alias("id_"), "kept", "n_removed", "n_bytes")
-    out = docs.join(cut, docs["doc_id"] == cut["id_"], "left").filter("n_removed is null or n_removed < n_bytes")
-    text = F.when(F.col("n_removed").isNull(), F.col("text")).otherwise(F.make_valid_utf8(F.col("kept")))
-    changed = {"text": text} | ({"n_chars": F.when(F.col("n_removed").isNull(), F.col("n_chars")).otherwise(F.length(text).cast("long"))} if "n_chars" in docs.columns else {})
-    return out.select(*[changed[c].alias(c) if c in changed else docs[c] for c in docs.columns])
+    cut = remove_repeated_bytes(docs).filter("n_removed > 0").select(F.col("doc_id").alias("id_"), F.struct("kept", "n_removed", "n_bytes").alias("cut_"))
+    whole = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row_"), docs["doc_id"].alias("key_"))
+    out = whole.join(cut, F.col("key_") == F.col("id_"), "left").filter("cut_ is null or cut_.n_removed < cut_.n_bytes")
+    text = F.when(F.col("cut_").isNull(), F.col("row_.text")).otherwise(F.make_valid_utf8(F.col("cut_.kept")))
+    changed = {"text": text, "n_chars": F.when(F.col("cut_").isNull(), F.col("row_.n_chars")).otherwise(F.length(text).cast("long")) if "n_chars" in docs.columns else None}
+    return out.select(*[(changed[c] if c in changed else F.col(f"row_.`{c}`")).alias(c) for c in docs.columns])
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
