@@ -10,6 +10,7 @@ from pathlib import Path
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from glyphtrace.functions import text
 from glyphtrace.sources.assets import with_text
@@ -31,7 +32,7 @@ def decode_assets(assets: DataFrame) -> DataFrame:
     )
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def unified_diff(before: pd.Series, after: pd.Series, name: pd.Series, to: pd.Series) -> pd.Series:
     """A unified diff of two texts by lines."""
     return pd.Series(["".join(difflib.unified_diff((a or "").splitlines(True), (b or "").splitlines(True), n or "", t or "")) for a, b, n, t in zip(before, after, name, to, strict=True)])
