@@ -6,6 +6,7 @@ import base64
 import binascii
 import io
 import re
+import time
 import zipfile
 from collections.abc import Iterator
 from pathlib import PurePosixPath
@@ -100,13 +101,19 @@ def expand(assets: DataFrame, limits: ScanLimits | None = None) -> DataFrame:
     def run(batches):
         for b in batches:
             for row in b.to_pylist():
+                until = time.monotonic() + limits.max_scan_seconds
                 for k, (name, content, error) in enumerate(members(row["suffix"], row["content"], limits), 1):
+                    late = time.monotonic() > until
+                    if late:
+                        name, content, error = None, None, "max_scan_seconds exceeded"
                     base = {"parent_id": row["asset_id"], "root_id": row["root_id"], "depth": row["depth"] + 1, "asset_id": f"{row['asset_id']}!{k}"}
                     if error is None:
                         base |= {"path": f"{row['path']}!{name}", "name": name, "suffix": PurePosixPath(name).suffix.lower(), "length": len(content), "content": content, "read_error": None}
                     else:
                         base |= {"path": row["path"], "name": None, "suffix": "", "length": None, "content": None, "read_error": error}
                     yield pa.RecordBatch.from_pylist([base], schema=schema)
+                    if late:
+                        break
 
     containers = [*dims.ZIP_SUFFIXES, ".pdf", ".html", ".htm"]
     level, out = assets, None

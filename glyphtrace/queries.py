@@ -7,7 +7,13 @@ from pyspark.sql import functions as F
 
 from glyphtrace import dims
 from glyphtrace.functions import lsb, severity, text
+from glyphtrace.limits import ScanLimits
+from glyphtrace.operators.containers import expand
+from glyphtrace.operators.formats import PNG
+from glyphtrace.operators.structure import structure_findings
 from glyphtrace.plans.carriers import carriers, carriers_sql
+from glyphtrace.plans.scan import Hooks, examined, scan
+from glyphtrace.sources.assets import from_column, with_text
 
 
 def _carriers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -167,7 +173,75 @@ def binary_hits(spark, sf_dir):
     return byte_hits(assets).select(F.col("asset_id").cast("long").alias("doc_id"), "byte_off", "category", "char", "context")
 
 
+def _number(n, little: bool = False):
+    """Four bytes of a column of numbers."""
+    h = F.lpad(F.hex(n), 8, "0")
+    return F.unhex(F.concat(*[F.substring(h, k, 2) for k in (7, 5, 3, 1)]) if little else h)
+
+
+def _raw(text_: str):
+    return F.lit(bytearray(text_.encode("latin-1")))
+
+
+def _chunk(name: str, data):
+    return F.concat(_number(F.octet_length(data)), _raw(name), data, _raw("\0\0\0\0"))
+
+
+def _binary(spark, sf_dir, content, suffix) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("b"))
+    return with_text(from_column(docs.select("doc_id", content.alias("c"), F.concat(F.lit("f"), suffix).alias("name")), "doc_id", "c", "name"))
+
+
+def png_structure(spark, sf_dir):
+    """Documents as text chunks of PNG files, some with a private chunk, some with bytes after the end."""
+    nothing = F.lit(bytearray())
+    private = F.when(F.col("doc_id") % 5 == 0, _chunk("vpAg", nothing)).otherwise(nothing)
+    tail = F.when(F.col("doc_id") % 3 == 0, _raw("tail")).otherwise(nothing)
+    content = F.concat(F.lit(bytearray(PNG)), _chunk("tEXt", F.col("b")), private, _chunk("IEND", nothing), tail)
+    return structure_findings(_binary(spark, sf_dir, content, F.lit(".png"))).select(F.col("asset_id").cast("long").alias("doc_id"), "detector", "location", "evidence", "risk")
+
+
+def media_structure(spark, sf_dir):
+    """Documents inside RIFF, ISO media, PDF and layered image files."""
+    kind, b, n = F.pmod("doc_id", F.lit(4)), F.col("b"), F.octet_length("b")
+    riff = F.concat(_raw("RIFF"), _number(F.lit(4), True), _raw("WAVE"), b)
+    media = F.concat(_number(F.lit(12)), _raw("ftypisom"), _number(n + 8), _raw("free"), b, _raw("rest"))
+    pdf = F.concat(_raw("%PDF /Author /EmbeddedFile "), b)
+    layers = F.concat(_raw("8BPS"), F.encode(F.repeat(F.lit("8BIM"), (F.pmod("doc_id", F.lit(3)) + 1).cast("int")), "UTF-8"), b)
+    content = F.when(kind == 0, riff).when(kind == 1, media).when(kind == 2, pdf).otherwise(layers)
+    found = structure_findings(_binary(spark, sf_dir, content, F.when(kind == 0, ".wav").when(kind == 1, ".mp4").when(kind == 2, ".pdf").otherwise(".psd")))
+    return found.filter(F.col("detector").isin(*_MEDIA_DETECTORS)).select(F.col("asset_id").cast("long").alias("doc_id"), "detector", "location", "evidence", "risk")
+
+
+_MEDIA_DETECTORS = ["riff_appended_data", "bmff_private_box", "bmff_appended_data", "pdf_hidden_structure", "psd_layer_structure"]
+
+
+def data_uri_members(spark, sf_dir):
+    """Pages with their own address as an embedded image, opened as members."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    body = F.concat(F.coalesce("html", F.lit("")), F.lit('<img src="data:image/png;base64,'), F.base64(F.encode("url", "UTF-8")), F.lit('">'))
+    assets = from_column(pages.select("page_id", body.alias("c")), "page_id", "c", suffix=".html")
+    return expand(assets).select(F.col("root_id").cast("long").alias("page_id"), "name", "length", F.sha2("content", 256).alias("sha256"))
+
+
+def provenance_status(spark, sf_dir):
+    """Documents as PNG files, every second one with a claim chunk: status and risk of what is found."""
+    nothing = F.lit(bytearray())
+    claim = F.when(F.col("doc_id") % 2 == 0, _chunk("caBX", _raw('{"provider": "p"}'))).otherwise(nothing)
+    assets = _binary(spark, sf_dir, F.concat(F.lit(bytearray(PNG)), claim, _chunk("tEXt", F.col("b")), _chunk("IEND", nothing)), F.lit(".png"))
+    looked = examined(assets, Hooks(), ScanLimits())
+    said = lambda k: F.get_json_object("provenance", f"$.{k}").alias(k)
+    return looked.select(F.col("asset_id").cast("long").alias("doc_id"), said("status"), said("provider"), said("manifest_location"), F.size("findings").cast("long").alias("findings"), F.get_json_object("robust", "$.IMAGE_ROBUST.status").alias("image_robust"))
+
+
+def asset_verdicts(spark, sf_dir):
+    """The whole scan over documents with injected content, by the column source."""
+    v = scan(from_column(_carriers(spark, sf_dir), "doc_id", "t"))["verdicts"]
+    return v.select(F.col("asset_id").cast("long").alias("doc_id"), F.col("hidden").cast("long").alias("hidden"), F.col("trailing").cast("long").alias("trailing"), "mixed", "attention", "severity", "flagged")
+
+
 QUERIES = {
+    "png_structure": png_structure, "media_structure": media_structure, "data_uri_members": data_uri_members, "provenance_status": provenance_status, "asset_verdicts": asset_verdicts,
     "zero_width_counts": zero_width_counts, "homoglyph_counts": homoglyph_counts, "suspicious_counts": suspicious_counts, "character_positions": character_positions,
     "trailing_whitespace_lines": trailing_whitespace_lines, "mixed_line_endings": mixed_line_endings, "finding_cap": finding_cap, "typography_intervals": typography_intervals,
     "hidden_layout": hidden_layout, "external_urls": external_urls, "fingerprint_markers": fingerprint_markers, "robust_markers": robust_markers, "html_comment_metadata": html_comment_metadata,
@@ -234,7 +308,22 @@ enf AS (SELECT *, n >= 64 AND entropy >= 0.9999 AND balance > 0.49 AND balance <
 _ROBUST = sorted({m for table in dims.ROBUST_MARKERS.values() for m in table})
 _BIN = {c: "ZWC" if c in dims.ZERO_WIDTH else "BIDI" for c in dims.BINARY_ORDER}
 
+_LEN = "octet_length(encode(coalesce(text, '')))"
 ORACLES = {
+    "png_structure": f"""WITH d AS (SELECT doc_id, {_LEN} AS n FROM documents)
+SELECT doc_id, 'png_metadata_chunk' AS detector, 'tEXt' AS location, '{{"chunk_type":"tEXt","length":' || n || '}}' AS evidence, 'informational' AS risk FROM d
+UNION ALL SELECT doc_id, 'png_private_chunk', '', '{{"chunk_types":["vpAg"]}}', 'medium' FROM d WHERE doc_id % 5 = 0
+UNION ALL SELECT doc_id, 'png_appended_data', 'byte:' || (8 + 12 + n + CASE WHEN doc_id % 5 = 0 THEN 12 ELSE 0 END + 12), '{{"appended_bytes":4}}', 'high' FROM d WHERE doc_id % 3 = 0""",
+    "media_structure": f"""WITH d AS (SELECT doc_id, {_LEN} AS n, (doc_id % 4) AS kind FROM documents)
+SELECT doc_id, 'riff_appended_data' AS detector, 'byte:12' AS location, '{{"appended_bytes":' || n || '}}' AS evidence, 'high' AS risk FROM d WHERE kind = 0 AND n > 0
+UNION ALL SELECT doc_id, 'bmff_private_box', '', '{{"box_types":["free"]}}', 'medium' FROM d WHERE kind = 1
+UNION ALL SELECT doc_id, 'bmff_appended_data', 'byte:' || (20 + n), '{{"appended_bytes":4}}', 'high' FROM d WHERE kind = 1
+UNION ALL SELECT doc_id, 'pdf_hidden_structure', '', '{{"structures":["embedded file"]}}', 'high' FROM d WHERE kind = 2
+UNION ALL SELECT doc_id, 'psd_layer_structure', '', '{{"resource_markers":' || (doc_id % 3 + 1) || '}}', 'informational' FROM d WHERE kind = 3""",
+    "data_uri_members": "SELECT page_id, 'data-uri-1.png' AS name, octet_length(encode(url)) AS length, sha256(url) AS sha256 FROM pages",
+    "provenance_status": """SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'NOT_CHECKED' ELSE 'MISSING' END AS status, CASE WHEN doc_id % 2 = 0 THEN 'p' ELSE '' END AS provider, CASE WHEN doc_id % 2 = 0 THEN 'embedded' ELSE '' END AS manifest_location,
+CASE WHEN doc_id % 2 = 0 THEN 2 ELSE 0 END AS findings, 'NOT_CHECKED' AS image_robust FROM documents""",
+    "asset_verdicts": f"{_COUNTED} SELECT doc_id, hidden, \"trailing\", mixed, attention, severity, flagged FROM sev",
     "zero_width_counts": f"{_C} SELECT doc_id, {_N(_ZW)} AS zero_width FROM carriers",
     "homoglyph_counts": f"{_C} SELECT doc_id, {_N(_HG)} AS homoglyphs FROM carriers",
     "suspicious_counts": f"{_C} SELECT doc_id, {_N(_OT)} AS suspicious FROM carriers",
