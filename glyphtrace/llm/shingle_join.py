@@ -28,6 +28,8 @@ from glyphtrace.llm.kernels import Words, mix, ragged, signed
 SKETCH_BITS = 20
 HASH_BITS = 58
 PARITY_WORDS = 16
+#: Rows of a prefix list that one task compares with each other; longer lists meet block by block.
+LIST_BLOCK = 2048
 
 
 def _shingles(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -60,6 +62,34 @@ def _sketch(docs: DataFrame, n: int, lower: bool) -> np.ndarray:
     return dense_sum(docs, run, 1 << SKETCH_BITS)
 
 
+def _whole_lists(batches, names: tuple[str, ...], most: int = 1 << 20):
+    """Columns of sorted rows, cut so that rows of equal first column stay together (lists longer than `most` are cut)."""
+
+    def columns(b):
+        return [np.asarray(b[c].flatten()).reshape(-1, PARITY_WORDS) if c == "parity" else np.asarray(b[c]) for c in names]
+
+    held, waiting = None, []
+    batches = iter(batches)
+    while True:
+        b = next(batches, None)
+        if b is not None and b.num_rows:
+            waiting.append(columns(b))
+        if not waiting or (b is not None and sum(len(w[0]) for w in waiting) < 40_000):
+            if b is None:
+                break
+            continue
+        held = [np.concatenate(x) for x in zip(*([held] if held else []), *waiting, strict=True)]
+        waiting = []
+        cut = int(np.searchsorted(held[0], held[0][-1], side="left"))
+        if len(held[0]) - cut > most:
+            cut = len(held[0])
+        if cut:
+            yield [x[:cut] for x in held]
+            held = [x[cut:] for x in held] if cut < len(held[0]) else None
+    if held is not None and len(held[0]):
+        yield held
+
+
 def _pivots(counts: np.ndarray, level: np.ndarray, fragments: int) -> np.ndarray:
     """Ranks that cut the global order into fragments of equal weight."""
     mass = np.bincount(level, counts, 32)
@@ -106,39 +136,36 @@ def jaccard_classes(docs: DataFrame, *, id_col: str = "doc_id", shingle: int = 4
     reps = ws.keep(sets.filter("n > 0").groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("id")))
     classes = ws.keep(sets.join(reps.select(F.col("id").alias("doc_id"), "n", "k1", "k2"), ["doc_id", "n", "k1", "k2"]).dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("id"), "n", "typical", "parity", "prefix"))
 
-    # prefix lists with at least two documents: each row names the list's most typical document and the row before
+    # prefix lists in order of size: a row stays if a neighbour's size is within the similarity, as only then a pair can link
     def lists(batches):
-        token = hub = last = None
-        for b in batches:
-            if not b.num_rows:
+        for t, i, n, p, typical in _whole_lists(batches, ("token", "id", "n", "pos", "typical")):
+            def fits(x, y):
+                return np.minimum(n[x], n[y]) * 100 >= np.maximum(n[x], n[y]) * percent
+
+            next_ = np.arange(len(t) - 1)
+            beside = (t[1:] == t[:-1]) & fits(next_, next_ + 1)
+            alone = np.ones(len(t), bool)  # lists of two: what they share from this shingle on must suffice, too
+            alone[1:] = t[1:] != t[:-1]
+            size = np.diff(np.append(np.flatnonzero(alone), len(t)))
+            two = np.flatnonzero(alone)[size == 2]
+            reach = np.minimum(p[two], p[two + 1]) + np.minimum(n[two] - p[two], n[two + 1] - p[two + 1])
+            beside[two] &= reach * (100 + percent) >= (n[two] + n[two + 1]) * percent
+            keep = np.zeros(len(t), bool)
+            keep[:-1] |= beside
+            keep[1:] |= beside
+            if not keep.any():
                 continue
-            t, i, n, p = (np.asarray(b[c]) for c in ("token", "id", "n", "pos"))
-            start = np.ones(len(t), bool)
-            start[1:] = t[1:] != t[:-1]
-            if token is not None and t[0] == token:
-                start[0] = False
-            head = np.flatnonzero(start)
-            of = np.cumsum(start) - 1
-            row = {c: np.concatenate([[h], x]) for c, h, x in zip(("id", "n", "pos"), hub[:3] if hub else (0, 0, 0), (i, n, p), strict=True)}
-            at_hub = np.where(of >= 0, head[np.maximum(of, 0)] + 1 if len(head) else 0, 0)
-            before = np.concatenate([[last if last is not None else 0], i[:-1]])
-            rows = np.flatnonzero(~start)
-            second = rows[(start[rows - 1]) & (rows > 0)] if len(rows) else rows
-            if len(rows) and rows[0] == 0 and hub is not None and hub[3]:
-                second = np.concatenate([[0], second])
-            h = at_hub[second]
-            out = [np.concatenate([t[second], t[rows]]), np.concatenate([row["id"][h], i[rows]]), np.concatenate([row["n"][h], n[rows]]), np.concatenate([row["pos"][h], p[rows]]).astype(np.int32), np.concatenate([row["id"][h], row["id"][at_hub[rows]]]), np.concatenate([row["id"][h], before[rows]])]
-            if len(rows):
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=["token", "id", "n", "pos", "hub", "before"])
-            if len(head):
-                k = head[-1]
-                hub = (i[k], n[k], p[k], k == len(t) - 1)
-            else:
-                hub = (*hub[:3], False)
-            token, last = t[-1], i[-1]
+            t, i, n, p, typical = (x[keep] for x in (t, i, n, p, typical))
+            head = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
+            of = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(t))))
+            order = np.lexsort((i, -typical, of))
+            hub = i[order][head][of]
+            before = np.concatenate([[0], i[:-1]])
+            before[head] = i[head]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (t, i, n, p, hub, before)], names=["token", "id", "n", "pos", "hub", "before"])
 
     spread = classes.select("id", "n", "typical", F.posexplode("prefix").alias("pos", "token"))
-    spread = spread.repartition("token").sortWithinPartitions("token", F.col("typical").desc(), "id").select("token", "id", "n", "pos")
+    spread = spread.repartition("token").sortWithinPartitions("token", "n", "id").select("token", "id", "n", "pos", "typical")
     shared = ws.keep(spread.mapInArrow(lists, "token long, id long, n long, pos int, hub long, before long"))
 
     parity = classes.select("id", "n", "parity")
@@ -173,14 +200,41 @@ def jaccard_classes(docs: DataFrame, *, id_col: str = "doc_id", shingle: int = 4
     first = linked(best.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct())
     joined = ws.keep(components(ws, classes.select("id"), first))
 
+    # lists whose documents are in several classes: all their pairs across classes that bitmaps and places allow
     listed = ws.keep(shared.select("token", "id", "n", "pos").join(joined, "id"))
-    per = listed.groupBy("token", "component").agg(F.count("*").alias("c")).groupBy("token").agg(F.max(F.struct("c", "component"))["component"].alias("main"), F.count("*").alias("kinds")).filter("kinds > 1")
-    mixed = ws.keep(listed.join(per.select("token", "main"), "token"))
-    left, right = mixed.filter("component <> main"), mixed.select("token", *[F.col(c).alias(c + "_") for c in ("id", "n", "pos", "component")])
-    rest = F.least(F.col("n") - F.col("pos"), F.col("n_") - F.col("pos_"))  # the most that can be shared from this shingle on
-    seen = F.least("pos", "pos_")
-    pairs = left.join(right, "token").filter((F.col("component") != F.col("component_")) & (F.least("n", "n_") * 100 >= F.greatest("n", "n_") * percent) & ((rest + seen) * (100 + percent) >= (F.col("n") + F.col("n_")) * percent))
-    second = linked(pairs.select(F.least("id", "id_").alias("a"), F.greatest("id", "id_").alias("b")).distinct())
+    per = listed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.ceil(F.count("*") / LIST_BLOCK).cast("int").alias("blocks")).filter("low < high")
+    mixed = listed.join(per.select("token", "blocks"), "token").join(parity.select("id", "parity"), "id").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    dealt = mixed.select("token", "id", "n", "pos", "component", "parity", "block", other)  # block i meets block j in a list of its own, i <= j
+    dealt = dealt.select(F.xxhash64("token", F.least("block", "other"), F.greatest("block", "other")).alias("list"), "id", "n", "pos", "component", "parity", (F.col("block") <= F.col("other")).cast("int").alias("left"), (F.col("block") >= F.col("other")).cast("int").alias("right"))
+
+    def across(batches):
+        for t, i, n, p, comp, left, right, bits in _whole_lists(batches, ("list", "id", "n", "pos", "component", "left", "right", "parity")):
+            head = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
+            size = np.diff(np.append(head, len(t)))
+            out = []
+
+            def test(x, y, i=i, n=n, p=p, comp=comp, left=left, right=right, bits=bits, out=out):
+                total = n[x] + n[y]
+                reach = np.minimum(p[x], p[y]) + np.minimum(n[x] - p[x], n[y] - p[y])
+                ok = (comp[x] != comp[y]) & (left[x] & right[y] | left[y] & right[x]).astype(bool) & (np.minimum(n[x], n[y]) * 100 >= np.maximum(n[x], n[y]) * percent) & (reach * (100 + percent) >= total * percent)
+                x, y, total = x[ok], y[ok], total[ok]
+                differ = np.bitwise_count(bits[x] ^ bits[y]).sum(1)
+                ok = differ * (100 + percent) <= total * (100 - percent)
+                if ok.any():
+                    out.append(np.stack([np.minimum(i[x[ok]], i[y[ok]]), np.maximum(i[x[ok]], i[y[ok]])], 1))
+
+            for k in np.unique(size).tolist():
+                at = head[size == k]
+                for d in range(1, k):  # pairs of rows at each distance, a band at a time: memory stays linear in the rows
+                    x = (at[:, None] + np.arange(k - d)).ravel()
+                    test(x, x + d)
+            if out:
+                pairs = np.unique(np.concatenate(out), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+    pairs = dealt.repartition("list").sortWithinPartitions("list", "n", "id").mapInArrow(across, "a long, b long")
+    second = linked(pairs.distinct())
 
     final = ws.keep(components(ws, classes.select("id"), first.unionAll(second)))
     of = reps.join(final, "id").select("n", "k1", "k2", "component")
