@@ -17,7 +17,7 @@ FINDING = ["asset_id", "ord", "seq", "category", "detector", "description", "con
 
 
 def parts(assets: DataFrame) -> DataFrame:
-    """asset_id, ord, format, kind, name, start, stop: chunks, boxes, tails and archive entries of every asset that has some."""
+    """asset_id, length, parts of every asset that may have some: chunks, boxes, tails and archive entries as (ord, format, kind, name, start, stop)."""
 
     def of(suffix: str, raw: bytes):
         if raw.startswith(PNG):
@@ -38,86 +38,98 @@ def parts(assets: DataFrame) -> DataFrame:
             except (OSError, zipfile.BadZipFile):
                 pass
 
+    kind = pa.list_(pa.struct([("ord", pa.int32()), ("format", pa.string()), ("kind", pa.string()), ("name", pa.string()), ("start", pa.int64()), ("stop", pa.int64())]))
+
     def run(batches):
         for b in batches:
-            rows = [(asset, k, *p) for asset, suffix, raw in zip(b["asset_id"].to_pylist(), b["suffix"].to_pylist(), b["content"].to_pylist(), strict=True) for k, p in enumerate(of(suffix, raw or b""))]
-            if rows:
-                kinds = (pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["asset_id", "ord", "format", "kind", "name", "start", "stop"])
+            found = [[dict(zip(("ord", "format", "kind", "name", "start", "stop"), (k, *p), strict=True)) for k, p in enumerate(of(suffix, raw or b""))] for suffix, raw in zip(b["suffix"].to_pylist(), b["content"].to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b["asset_id"], pa.array([len(x or b"") for x in b["content"].to_pylist()], pa.int64()), pa.array(found, kind)], names=["asset_id", "length", "parts"])
 
     near = assets.filter(F.col("suffix").isin(*dims.BMFF_SUFFIXES, *dims.ZIP_SUFFIXES) | F.substring("content", 1, 4).isin(bytearray(PNG[:4]), bytearray(b"RIFF"), bytearray(b"RIFX"), bytearray(b"RF64")))
-    return near.select("asset_id", "suffix", "content").mapInArrow(run, "asset_id string, ord int, format string, kind string, name string, start long, stop long")
+    return near.select("asset_id", "suffix", "content").mapInArrow(run, "asset_id string, length long, parts array<struct<ord:int,format:string,kind:string,name:string,start:long,stop:long>>")
 
 
-def finding(df: DataFrame, seq: int, category: str, detector: str, description: str, confidence, location: Column | None = None, evidence: Column | None = None, risk="informational", ord_: Column | None = None) -> DataFrame:
-    """Rows of df as findings."""
+def _finding(seq: int, category: str, detector: str, description: str, confidence, location: Column | None = None, evidence: Column | None = None, risk="informational", ord_: Column | None = None) -> Column:
     lit = lambda x: x if isinstance(x, Column) else F.lit(x)
-    return df.select("asset_id", (F.lit(0) if ord_ is None else ord_).cast("int").alias("ord"), F.lit(seq).alias("seq"), F.lit(category).alias("category"), F.lit(detector).alias("detector"), F.lit(description).alias("description"), lit(confidence).cast("double").alias("confidence"), (F.lit("") if location is None else location).alias("location"), (F.lit("{}") if evidence is None else evidence).alias("evidence"), lit(risk).alias("risk"))
+    values = {"ord": (F.lit(0) if ord_ is None else ord_).cast("int"), "seq": F.lit(seq), "category": F.lit(category), "detector": F.lit(detector), "description": F.lit(description), "confidence": lit(confidence).cast("double"), "location": F.lit("") if location is None else location, "evidence": F.lit("{}") if evidence is None else evidence, "risk": lit(risk)}
+    return F.struct(*[c.alias(n) for n, c in values.items()])
 
 
 def _json(**columns: Column) -> Column:
     return F.to_json(F.struct(*[c.alias(n) for n, c in columns.items()]))
 
 
-def structure_findings(assets: DataFrame, p: DataFrame | None = None) -> DataFrame:
-    """Findings of assets (asset_id, suffix, content, utf8_text); seq and ord give their order within an asset."""
-    p = parts(assets) if p is None else p
-    at = F.concat(F.lit("byte:"), F.col("start").cast("string"))
-    png, size = p.filter("format = 'png'"), F.col("stop") - F.col("start")
-    lengths = assets.select("asset_id", F.length("content").cast("long").alias("length"))
-    out = [
-        finding(png.filter("kind = 'overrun'"), 1, "STRUCTURAL", "png_malformed_chunk", "a PNG chunk runs past the end of the file", 0.95, at, risk="high", ord_=F.col("ord")),
-        finding(png.filter("kind = 'chunk' and name in ('tEXt', 'zTXt', 'iTXt', 'eXIf')"), 1, "METADATA", "png_metadata_chunk", "a PNG chunk holds text or camera metadata", 0.7, F.col("name"), _json(chunk_type=F.col("name"), length=size - 12), ord_=F.col("ord")),
-    ]
-    ended = png.filter("kind = 'chunk' and name = 'IEND'").join(lengths, "asset_id").filter("stop < length")
-    out.append(finding(ended, 2, "STRUCTURAL", "png_appended_data", "data follows the end of the PNG", 0.98, F.concat(F.lit("byte:"), F.col("stop").cast("string")), _json(appended_bytes=F.col("length") - F.col("stop")), "high"))
-    ordered = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("ord", c))), lambda x: x[c])
-    private = png.filter("kind = 'chunk'").filter(F.substring("name", 2, 1).rlike("[a-z]")).groupBy("asset_id").agg(ordered("name").alias("names"))
-    out.append(finding(private, 4, "STRUCTURAL", "png_private_chunk", "the PNG has private chunks", 0.75, None, _json(chunk_types=F.col("names")), "medium"))
-
-    latin = F.decode("content", "ISO-8859-1")
-    pdf = assets.filter(F.substring("content", 1, 4) == F.lit(b"%PDF")).select("asset_id", F.array_compact(F.array(*[F.when(F.contains(latin, F.lit(m)), F.lit(n)) for m, n in dims.PDF_MARKERS.items()])).alias("found"))
-    out.append(finding(pdf.filter(F.size("found") > 0), 3, "STRUCTURAL", "pdf_hidden_structure", "the PDF has structures that can hide or run content", 0.9, None, _json(structures=F.col("found")), "high"))
-
-    names = F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == "member", F.struct("ord", "name")))), lambda x: x["name"])
-    locked = F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == "encrypted", F.struct("ord", "name")))), lambda x: x["name"])
-    archives = p.filter("format = 'zip'").groupBy("asset_id").agg(names.alias("names"), locked.alias("locked")).filter(F.size("names") > 0)
-    archives = archives.withColumn("nested", F.filter("names", lambda n: F.lower(F.regexp_extract(n, r"(\.[^./]+)$", 1)).isin(*dims.NESTED_ARCHIVES)))
-    risky = (F.size("nested") > 0) | (F.size("locked") > 0)
-    out.append(finding(archives, 5, "STRUCTURAL", "archive_embedded_files", "the container embeds files", F.when(risky, 0.9).otherwise(0.65), None, _json(file_count=F.size("names"), nested_archives=F.col("nested"), encrypted_members=F.col("locked"), sample_members=F.slice("names", 1, 20)), F.when(risky, "high").otherwise("informational")))
-
-    out.append(finding(p.filter("format = 'riff'"), 6, "STRUCTURAL", "riff_appended_data", "bytes follow the declared RIFF container", 0.95, at, _json(appended_bytes=size), "high"))
-    boxes = p.filter("format = 'bmff' and name in ('uuid', 'free', 'skip')").groupBy("asset_id").agg(ordered("name").alias("names"))
-    out.append(finding(boxes, 7, "STRUCTURAL", "bmff_private_box", "the media file has private or padding boxes", 0.75, None, _json(box_types=F.col("names")), "medium"))
-    out.append(finding(p.filter("format = 'bmff' and kind = 'tail'"), 8, "STRUCTURAL", "bmff_appended_data", "bytes lie outside the boxes of the media file", 0.9, at, _json(appended_bytes=size), "high"))
-    psd = assets.filter((F.col("suffix") == ".psd") & (F.substring("content", 1, 4) == F.lit(b"8BPS")) & F.contains(latin, F.lit("8BIM")))
-    out.append(finding(psd, 9, "STRUCTURAL", "psd_layer_structure", "the document has layer or resource records", 0.7, None, _json(resource_markers=F.regexp_count(latin, F.lit("8BIM")))))
-
-    low, suffix = F.lower(latin), F.col("suffix")
+def _rows(df: DataFrame, findings: list[Column]) -> DataFrame:
+    """A row per finding; each entry is a struct (null: none) or an array of structs."""
+    return df.select("asset_id", F.explode(F.array_compact(F.concat(*findings))).alias("f")).select("asset_id", "f.*").select(*FINDING)
+
+
+def _of_parts(p: DataFrame) -> DataFrame:
+    """Findings about the parts of an asset, in one pass over them."""
+    pick = lambda test: F.filter("parts", test)
+    chunk = lambda x: (x["format"] == "png") & (x["kind"] == "chunk")
+    at = lambda k: F.concat(F.lit("byte:"), k.cast("string"))
+    names = lambda test: F.transform(pick(test), lambda x: x["name"])
+    when = lambda found, f: F.array(F.when(F.size(found) > 0, f))
+    private = names(lambda x: chunk(x) & F.substring(x["name"], 2, 1).rlike("[a-z]"))
+    members, locked = names(lambda x: (x["format"] == "zip") & (x["kind"] == "member")), names(lambda x: (x["format"] == "zip") & (x["kind"] == "encrypted"))
+    nested = F.filter(members, lambda n: F.lower(F.regexp_extract(n, r"(\.[^./]+)$", 1)).isin(*dims.NESTED_ARCHIVES))
+    risky = (F.size(nested) > 0) | (F.size(locked) > 0)
+    boxes = names(lambda x: (x["format"] == "bmff") & x["name"].isin("uuid", "free", "skip"))
+    noted = F.exists("parts", lambda x: (x["format"] == "zip") & (x["kind"] == "comment"))
+    office = F.exists(members, lambda n: n.startswith("docProps/"))
+    packed = F.array_compact(F.array(F.when(noted & (F.size(members) > 0), F.lit("archive_comment")), F.when(office, F.lit("office_properties"))))
+    size = lambda x: x["stop"] - x["start"]
+    return _rows(p, [
+        F.transform(pick(lambda x: (x["format"] == "png") & (x["kind"] == "overrun")), lambda x: _finding(1, "STRUCTURAL", "png_malformed_chunk", "a PNG chunk runs past the end of the file", 0.95, at(x["start"]), risk="high", ord_=x["ord"])),
+        F.transform(pick(lambda x: chunk(x) & x["name"].isin("tEXt", "zTXt", "iTXt", "eXIf")), lambda x: _finding(1, "METADATA", "png_metadata_chunk", "a PNG chunk holds text or camera metadata", 0.7, x["name"], _json(chunk_type=x["name"], length=size(x) - 12), ord_=x["ord"])),
+        F.transform(pick(lambda x: chunk(x) & (x["name"] == "IEND") & (x["stop"] < F.col("length"))), lambda x: _finding(2, "STRUCTURAL", "png_appended_data", "data follows the end of the PNG", 0.98, at(x["stop"]), _json(appended_bytes=F.col("length") - x["stop"]), "high")),
+        when(private, _finding(4, "STRUCTURAL", "png_private_chunk", "the PNG has private chunks", 0.75, None, _json(chunk_types=private), "medium")),
+        when(members, _finding(5, "STRUCTURAL", "archive_embedded_files", "the container embeds files", F.when(risky, 0.9).otherwise(0.65), None, _json(file_count=F.size(members), nested_archives=nested, encrypted_members=locked, sample_members=F.slice(members, 1, 20)), F.when(risky, "high").otherwise("informational"))),
+        F.transform(pick(lambda x: x["format"] == "riff"), lambda x: _finding(6, "STRUCTURAL", "riff_appended_data", "bytes follow the declared RIFF container", 0.95, at(x["start"]), _json(appended_bytes=size(x)), "high")),
+        when(boxes, _finding(7, "STRUCTURAL", "bmff_private_box", "the media file has private or padding boxes", 0.75, None, _json(box_types=boxes), "medium")),
+        F.transform(pick(lambda x: (x["format"] == "bmff") & (x["kind"] == "tail")), lambda x: _finding(8, "STRUCTURAL", "bmff_appended_data", "bytes lie outside the boxes of the media file", 0.9, at(x["start"]), _json(appended_bytes=size(x)), "high")),
+        when(packed, _finding(10, "METADATA", "format_metadata_fields", "the file has metadata or comment fields of its format", 0.65, None, _json(fields=packed))),
+    ])
+
+
+def _of_content(assets: DataFrame) -> DataFrame:
+    """Findings about bytes and text, in one pass over the assets."""
+    latin, suffix = F.col("latin"), F.col("suffix")
+    low = F.col("low")
+    rows = assets.select("asset_id", "suffix", "content", "utf8_text", F.decode("content", "ISO-8859-1").alias("latin")).withColumn("low", F.lower("latin"))
+    starts = lambda mark: F.substring("content", 1, len(mark)) == F.lit(mark)
     has = lambda *marks: F.exists(F.array(*[F.contains(low, F.lit(m)) for m in marks]), lambda x: x)
-    comments = p.filter("format = 'zip'").groupBy("asset_id").agg(F.bool_or(F.col("kind") == "comment").alias("noted"), F.bool_or((F.col("kind") == "member") & F.col("name").startswith("docProps/")).alias("office"))
-    zipped = assets.filter(suffix.isin(*dims.ZIP_SUFFIXES)).select("asset_id", "suffix", "content").join(comments, "asset_id", "left")
     jpeg, tagged = suffix.isin(".jpg", ".jpeg"), suffix.isin(".flac", ".ogg", ".opus")
     fields = [
         (jpeg & has("exif\x00\x00"), "exif"), (jpeg & has("http://ns.adobe.com/xap/1.0/", "<x:xmpmeta"), "xmp"), (jpeg & has("photoshop 3.0"), "iptc"),
-        (suffix.isin(".mp3", ".aac") & (F.substring("content", 1, 3) == F.lit(b"ID3")), "id3"), (tagged & has("title=", "artist=", "comment="), "vorbis_comment"),
+        (suffix.isin(".mp3", ".aac") & starts(b"ID3"), "id3"), (tagged & has("title=", "artist=", "comment="), "vorbis_comment"),
         *[((suffix == ".pdf") & has(k), k[1:]) for k in dims.PDF_METADATA], (suffix.isin(".svg", ".html", ".htm") & latin.rlike("(?s)<!--.*?-->"), "text_comment"),
     ]
-    own = assets.filter(~suffix.isin(*dims.ZIP_SUFFIXES)).select("asset_id", F.array_sort(F.array_compact(F.array(*[F.when(c, F.lit(n)) for c, n in fields]))).alias("found"))
-    packed = zipped.select("asset_id", F.array_compact(F.array(F.when(F.col("noted"), F.lit("archive_comment")), F.when(F.col("office"), F.lit("office_properties")))).alias("found"))
-    out.append(finding(own.unionAll(packed).filter(F.size("found") > 0), 10, "METADATA", "format_metadata_fields", "the file has metadata or comment fields of its format", 0.65, None, _json(fields=F.col("found"))))
-
-    for k, (kind, table) in enumerate(dims.ROBUST_MARKERS.items()):
-        declared = assets.filter(suffix.isin(*dims.ROBUST_SUFFIXES[kind])).select("asset_id", text.markers(low, table).alias("found")).filter(F.size("found") > 0)
-        out.append(finding(declared, 11 + k, kind, "declared_robust_watermark_signal", "the media declares a robust watermark", 0.65, None, _json(signal_families=F.col("found"), proof=F.lit(False))))
-    prints = assets.select("asset_id", text.markers(low, dims.FINGERPRINT_MARKERS).alias("found")).filter(F.size("found") > 0)
-    out.append(finding(prints, 14, "FINGERPRINT", "device_codec_fingerprint", "the file names a device, printer, camera or codec", 0.6, None, _json(markers=F.col("found"))))
-
-    t = assets.filter("utf8_text is not null and utf8_text <> ''").select("asset_id", text.double_spaces("utf8_text").alias("d"), text.punctuation_intervals("utf8_text").alias("i"), text.layout_patterns("utf8_text").alias("l"), text.external_urls("utf8_text").alias("u"))
-    out.append(finding(t.filter("d >= 3 or i >= 2"), 30, "TEXT_PATTERN", "typography_interval_pattern", "repeated intervals between words or sentences", F.least(F.lit(0.95), F.lit(0.45) + F.col("d") * 0.1), None, _json(double_space_intervals=F.col("d"), punctuation_intervals=F.col("i"))))
-    out.append(finding(t.filter(F.size("l") > 0), 31, "LAYOUT", "hidden_layout_style", "styles hide content or move it out of view", 0.92, None, _json(patterns=F.col("l")), "high"))
-    out.append(finding(t.filter(F.size("u") > 0), 32, "NETWORK_OR_EXTERNAL", "external_payload_reference", "content refers to external resources", 0.55, None, _json(urls=F.col("u"))))
-    every = out[0]
-    for f in out[1:]:
-        every = every.unionAll(f)
-    return every
+    readable = F.col("utf8_text").isNotNull() & (F.col("utf8_text") != "")
+    columns = {
+        "pdf": F.when(starts(b"%PDF"), F.array_compact(F.array(*[F.when(F.contains(latin, F.lit(m)), F.lit(n)) for m, n in dims.PDF_MARKERS.items()]))),
+        "psd": F.when((suffix == ".psd") & starts(b"8BPS"), F.regexp_count(latin, F.lit("8BIM"))),
+        "fields": F.array_sort(F.array_compact(F.array(*[F.when(c, F.lit(n)) for c, n in fields]))),
+        **{k: F.when(suffix.isin(*dims.ROBUST_SUFFIXES[k]), text.markers(low, table)) for k, table in dims.ROBUST_MARKERS.items()},
+        "prints": text.markers(low, dims.FINGERPRINT_MARKERS),
+        "d": F.when(readable, text.double_spaces("utf8_text")), "i": F.when(readable, text.punctuation_intervals("utf8_text")), "l": F.when(readable, text.layout_patterns("utf8_text")), "u": F.when(readable, text.external_urls("utf8_text")),
+    }
+    rows = rows.select("asset_id", *[c.alias(n) for n, c in columns.items()])
+    when = lambda test, f: F.array(F.when(test, f))
+    some = lambda c: F.size(c) > 0
+    return _rows(rows, [
+        when(some("pdf"), _finding(3, "STRUCTURAL", "pdf_hidden_structure", "the PDF has structures that can hide or run content", 0.9, None, _json(structures=F.col("pdf")), "high")),
+        when(F.col("psd") > 0, _finding(9, "STRUCTURAL", "psd_layer_structure", "the document has layer or resource records", 0.7, None, _json(resource_markers=F.col("psd")))),
+        when(some("fields"), _finding(10, "METADATA", "format_metadata_fields", "the file has metadata or comment fields of its format", 0.65, None, _json(fields=F.col("fields")))),
+        *[when(some(k), _finding(11 + n, k, "declared_robust_watermark_signal", "the media declares a robust watermark", 0.65, None, _json(signal_families=F.col(k), proof=F.lit(False)))) for n, k in enumerate(dims.ROBUST_MARKERS)],
+        when(some("prints"), _finding(14, "FINGERPRINT", "device_codec_fingerprint", "the file names a device, printer, camera or codec", 0.6, None, _json(markers=F.col("prints")))),
+        when((F.col("d") >= 3) | (F.col("i") >= 2), _finding(30, "TEXT_PATTERN", "typography_interval_pattern", "repeated intervals between words or sentences", F.least(F.lit(0.95), F.lit(0.45) + F.col("d") * 0.1), None, _json(double_space_intervals=F.col("d"), punctuation_intervals=F.col("i")))),
+        when(some("l"), _finding(31, "LAYOUT", "hidden_layout_style", "styles hide content or move it out of view", 0.92, None, _json(patterns=F.col("l")), "high")),
+        when(some("u"), _finding(32, "NETWORK_OR_EXTERNAL", "external_payload_reference", "content refers to external resources", 0.55, None, _json(urls=F.col("u")))),
+    ])
+
+
+def structure_findings(assets: DataFrame) -> DataFrame:
+    """Findings of assets (asset_id, suffix, content, utf8_text); seq and ord give their order within an asset."""
+    return _of_parts(parts(assets)).unionAll(_of_content(assets))
