@@ -132,10 +132,12 @@ def learn_lexicon(labelled: DataFrame | None) -> dict:
         return empty
 
     def run(batches):
+        texts = 0
         out = np.zeros((2, 5, SIZE))  # by class: documents with the word, words, documents with the beginning, beginnings, words of those documents
         for part in slices(batches):
             b = Batch(part["text"])
             toxic = np.asarray(part["toxic"]).astype(np.int64)
+            texts += toxic.sum()
             for k, ids in enumerate((b.whole, b.begin)):
                 key, n = np.unique(b.text * SIZE + ids, return_counts=True)
                 t = toxic[key // SIZE]
@@ -144,15 +146,16 @@ def learn_lexicon(labelled: DataFrame | None) -> dict:
                     out[c, 2 * k + 1] += np.bincount(key[t == c] % SIZE, n[t == c], SIZE)
                     if k:
                         out[c, 4] += np.bincount(key[t == c] % SIZE, b.n[key[t == c] // SIZE], SIZE)
-        return out.ravel()
+        return np.append(out.ravel(), texts)
 
-    clean, toxic = dense_sum(labelled, run, 10 * SIZE, np.float32).reshape(2, 5, SIZE)
+    *sums, texts = dense_sum(labelled, run, 10 * SIZE + 1, np.float32)
+    clean, toxic = np.reshape(sums, (2, 5, SIZE))
     if not toxic[1].sum() or not clean[1].sum():
         return empty
     rate = lambda x, k: x[k] / max(x[k].sum(), 1)
     words = (toxic[0] >= 5) & (rate(toxic, 1) > 40 * (rate(clean, 1) + 0.5 / max(clean[1].sum(), 1))) & (clean[0] <= 0.02 * toxic[0])
     expected = rate(clean, 3) * toxic[3].sum()
-    begin = (toxic[2] >= 8) & (toxic[3] > 3 * expected) & (toxic[3] - expected > 8 * np.sqrt(expected + 1)) & (rate(toxic, 3) > 5e-5)
+    begin = (toxic[2] >= max(8, 0.04 * texts)) & (toxic[3] > 3 * expected) & (toxic[3] - expected > 8 * np.sqrt(expected + 1)) & (rate(toxic, 3) > 5e-5)
     return {"seed": seed, "words": words.astype(float), "begin": begin.astype(float), "usual": float(clean[3][begin].sum() / max(clean[4][begin].sum(), 1)), "labelled": True}
 
 
