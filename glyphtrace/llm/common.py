@@ -109,17 +109,17 @@ def components(ws: Workspace, nodes: DataFrame, edges: DataFrame) -> DataFrame:
 _CHUNK = 1024
 
 
-def dense_sum(df: DataFrame, per_task, length: int, kind=np.float64) -> np.ndarray:
+def dense_sum(df: DataFrame, per_task, length: int, kind=np.float64, chunk: int = _CHUNK) -> np.ndarray:
     """The sum over all tasks of a vector of fixed length: per_task(batches) gives one for its task.
 
     Only `length` numbers reach the driver, however large the input; each task sends its own vector in pieces, which
-    are added up by grouped tasks.
+    are added up by grouped tasks; larger pieces suit tables of few tasks.
     """
 
     def run(batches):
         total = np.asarray(per_task(batches), kind)
-        keep = [k for k in range(0, length, _CHUNK) if total[k : k + _CHUNK].any()]
-        yield pa.RecordBatch.from_arrays([pa.array([k // _CHUNK for k in keep], pa.int32()), pa.array([total[k : k + _CHUNK].tobytes() for k in keep], pa.binary())], names=["chunk", "part"])
+        keep = [k for k in range(0, length, chunk) if total[k : k + chunk].any()]
+        yield pa.RecordBatch.from_arrays([pa.array([k // chunk for k in keep], pa.int32()), pa.array([total[k : k + chunk].tobytes() for k in keep], pa.binary())], names=["chunk", "part"])
 
     def add(t: pa.Table) -> pa.Table:
         total = sum(np.frombuffer(x, kind) for x in t["part"].to_pylist())
@@ -127,7 +127,7 @@ def dense_sum(df: DataFrame, per_task, length: int, kind=np.float64) -> np.ndarr
 
     out = np.zeros(length)
     for k, part in df.mapInArrow(run, "chunk int, part binary").groupBy("chunk").applyInArrow(add, "chunk int, part binary").collect():
-        out[k * _CHUNK : k * _CHUNK + len(part) // np.dtype(kind).itemsize] = np.frombuffer(part, kind)
+        out[k * chunk : k * chunk + len(part) // np.dtype(kind).itemsize] = np.frombuffer(part, kind)
     return out
 
 

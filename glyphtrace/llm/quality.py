@@ -148,7 +148,7 @@ def learn_lexicon(labelled: DataFrame | None) -> dict:
                         out[c, 4] += np.bincount(key[t == c] % SIZE, b.n[key[t == c] // SIZE], SIZE)
         return np.append(out.ravel(), texts)
 
-    *sums, texts = dense_sum(labelled, run, 10 * SIZE + 1, np.float32)
+    *sums, texts = dense_sum(labelled, run, 10 * SIZE + 1, np.float32, 1 << 14)
     clean, toxic = np.reshape(sums, (2, 5, SIZE))
     if not toxic[1].sum() or not clean[1].sum():
         return empty
@@ -187,7 +187,7 @@ def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: i
     return post
 
 
-def _train(features: DataFrame, steps: int = 24) -> np.ndarray:
+def _train(features: DataFrame, steps: int = 28) -> np.ndarray:
     """Weights of the hashed scorers for junk and for toxicity, each with its bias last, by full-batch adaptive gradient steps."""
     weights, seen = np.zeros((2, SIZE + 1)), np.full((2, SIZE + 1), 1e-8)
     for step in range(steps):
@@ -208,10 +208,10 @@ def _train(features: DataFrame, steps: int = 24) -> np.ndarray:
                     g[k, SIZE] += d.sum()
             return np.append(g.ravel(), n)
 
-        total = dense_sum(features, gradient, 2 * (SIZE + 1) + 1, np.float32)
+        total = dense_sum(features, gradient, 2 * (SIZE + 1) + 1, np.float32, 1 << 14)
         g = total[:-1].reshape(2, SIZE + 1) / max(total[-1], 1) - 1e-6 * weights
         seen += g * g
-        weights += (1.0 if step else 0.5) * g / np.sqrt(seen)
+        weights += (1.0 if step else 0.5) / (1 + step / 8) * g / np.sqrt(seen)
         shared.unpersist()
     return weights
 
