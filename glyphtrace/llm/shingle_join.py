@@ -12,7 +12,8 @@ Then the pairs of each list that are still in different classes are counted. Doc
 throughout. So a group of many near copies costs about a pair per member and not their square.
 
 Documents without words have an empty set and stand alone; with fewer words than a shingle has, the whole sequence is
-the one shingle. Null texts are empty. Rows that repeat a doc_id count as documents of the same id.
+the one shingle. Null texts are empty. A doc_id
+stands for one text; rows that repeat one are alike and get alike results.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ from glyphtrace.llm.kernels import Words, mix, ragged, signed
 SKETCH_BITS = 20
 HASH_BITS = 58
 PARITY_WORDS = 16
+#: Longer sets have a second bitmap.
+WIDE_FROM, WIDE_WORDS = 700, 128
 #: Rows of a prefix list that one task compares with each other; longer lists meet block by block.
 LIST_BLOCK = 2048
 
@@ -127,14 +130,32 @@ def jaccard_classes(docs: DataFrame, *, id_col: str = "doc_id", shingle: int = 4
                 key.append(sums[first + n] - sums[first])
             bits = (np.bincount(text * (64 * PARITY_WORDS) + (mix(rank) % np.uint64(64 * PARITY_WORDS)).astype(np.int64), minlength=texts * 64 * PARITY_WORDS) & 1).astype(np.uint8)
             parity = np.packbits(bits.reshape(texts, -1), axis=1).view(np.int64).ravel()
+            long = np.flatnonzero(n > WIDE_FROM)  # more bits for long texts, whose shingles would fill the others
+            order_ = np.cumsum(n > WIDE_FROM) - 1
+            of_long = (n > WIDE_FROM)[text]
+            more = (np.bincount(order_[text[of_long]] * (64 * WIDE_WORDS) + (mix(rank[of_long] ^ np.uint64(77)) % np.uint64(64 * WIDE_WORDS)).astype(np.int64), minlength=len(long) * 64 * WIDE_WORDS) & 1).astype(np.uint8)
+            wide = ragged(np.packbits(more.reshape(len(long), -1), axis=1).view(np.int64).ravel(), np.where(n > WIDE_FROM, WIDE_WORDS, 0))
             length = n - -(-percent * n // 100) + (n > 0)
             typical = np.bincount(text, (rank >> np.uint64(HASH_BITS)).astype(float), texts) / np.maximum(n, 1)
             front = place < length[text]
-            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(n), pa.array(signed(key[0])), pa.array(signed(key[1])), pa.array(typical.astype(np.float32)), ragged(parity, np.full(texts, PARITY_WORDS)), ragged(signed(rank[front]), length)], names=["doc_id", "n", "k1", "k2", "typical", "parity", "prefix"])
+            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(n), pa.array(signed(key[0])), pa.array(signed(key[1])), pa.array(typical.astype(np.float32)), ragged(parity, np.full(texts, PARITY_WORDS)), wide, ragged(signed(rank[front]), length)], names=["doc_id", "n", "k1", "k2", "typical", "parity", "wide", "prefix"])
 
-    sets = ws.keep(docs.mapInArrow(describe, "doc_id long, n long, k1 long, k2 long, typical float, parity array<long>, prefix array<long>"))
+    sets = ws.keep(docs.mapInArrow(describe, "doc_id long, n long, k1 long, k2 long, typical float, parity array<long>, wide array<long>, prefix array<long>"))
     reps = ws.keep(sets.filter("n > 0").groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("id")))
-    classes = ws.keep(sets.join(reps.select(F.col("id").alias("doc_id"), "n", "k1", "k2"), ["doc_id", "n", "k1", "k2"]).dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("id"), "n", "typical", "parity", "prefix"))
+    # documents that repeat an earlier set go; most are told from the others by a bitmap, so that few wide rows are shuffled
+    copies = ws.keep(sets.filter("n > 0").select("doc_id", "n", "k1", "k2").join(reps, ["n", "k1", "k2"]).filter("doc_id <> id").select(F.col("doc_id").alias("id")))
+    doubtful = spark.sparkContext.broadcast(id_bitmap(copies))  # fixed size
+
+    def side(which: bool):
+        def run(batches):
+            for b in batches:
+                yield b.filter(pa.array(in_bitmap(doubtful.value, np.asarray(b["id"])) == which))
+
+        return run
+
+    wide_rows = sets.filter("n > 0 and doc_id is not null").select(F.col("doc_id").alias("id"), "n", "typical", "parity", "wide", "prefix")
+    sure, asked = (wide_rows.mapInArrow(side(w), wide_rows.schema) for w in (False, True))
+    classes = ws.keep(sure.unionAll(asked.join(copies, "id", "left_anti")))
 
     # prefix lists in order of size: a row stays if a neighbour's size is within the similarity, as only then a pair can link
     def lists(batches):
@@ -168,12 +189,13 @@ def jaccard_classes(docs: DataFrame, *, id_col: str = "doc_id", shingle: int = 4
     spread = spread.repartition("token").sortWithinPartitions("token", "n", "id").select("token", "id", "n", "pos", "typical")
     shared = ws.keep(spread.mapInArrow(lists, "token long, id long, n long, pos int, hub long, before long"))
 
-    parity = classes.select("id", "n", "parity")
+    parity = classes.select("id", "n", "parity", "wide")
 
     def linked(pairs: DataFrame) -> DataFrame:
         """Of pairs (a, b), those that link: bitmap bound, then overlaps by fragment."""
-        x = pairs.join(parity.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("parity").alias("pa")), "a").join(parity.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("parity").alias("pb")), "b")
-        differ = F.aggregate(F.zip_with("pa", "pb", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, v: s + v)
+        x = pairs.join(parity.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("parity").alias("pa"), F.col("wide").alias("wa")), "a").join(parity.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("parity").alias("pb"), F.col("wide").alias("wb")), "b")
+        bits = lambda p, q: F.aggregate(F.zip_with(p, q, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, v: s + v)
+        differ = F.when((F.size("wa") > 0) & (F.size("wb") > 0), bits("wa", "wb")).otherwise(bits("pa", "pb"))
         close = ws.keep(x.filter((F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent) & (differ * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent))).select("a", "b", "na", "nb"))
         wanted = spark.sparkContext.broadcast(id_bitmap(close.select(F.col("a").alias("id")).union(close.select("b")).distinct()))  # fixed size
 
