@@ -50,7 +50,13 @@ class Workspace:
         df.write.parquet(path)
         # Spark deletes the shuffle files of finished work once the driver has collected what refers to them
         self.spark.sparkContext._jvm.System.gc()
-        return self.spark.read.schema(df.schema).parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        out._glyphtrace_path = path
+        return out
+
+    def done(self, kept: DataFrame) -> None:
+        """Removes a table that nothing to come reads."""
+        _remove(self.spark, kept._glyphtrace_path)
 
     def drop(self, *frames_before: int) -> None:
         for k in frames_before:

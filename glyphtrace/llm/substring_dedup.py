@@ -67,6 +67,7 @@ def repeated_spans(ws: Workspace, docs: DataFrame, *, window: int = 50, gram: in
     fps = all_.select("doc_id", "fps").join(known.filter(~F.col("copy")).select("doc_id").distinct(), "doc_id").select(F.col("doc_id").alias("id"), F.explode("fps").alias("fp"))
     shared = fps.groupBy("fp").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("fp")
     live = ws.keep(fps.join(shared, "fp").groupBy("id").agg(F.collect_set("fp").alias("live")))
+    ws.done(all_)
 
     def texts_of(ids: DataFrame) -> DataFrame:
         """The texts of the ids, which few of the others accompany to the join."""
@@ -100,8 +101,10 @@ def repeated_spans(ws: Workspace, docs: DataFrame, *, window: int = 50, gram: in
             yield pa.RecordBatch.from_arrays([pa.array(signed(v)), pa.array(np.repeat(np.asarray(b["id"]), size))], names=["w", "id"])
 
     held = ws.keep(texts_of(live).select("id", "text", "live").mapInArrow(windows, "w long, id long"))
+    ws.done(live)
     owners = held.groupBy("w").agg(F.min("id").alias("owner"), F.max("id").alias("hi")).filter("owner < hi").select("w", "owner")
     routes = ws.keep(held.join(owners, "w").groupBy("id").agg(F.collect_list(F.struct("owner", "w")).alias("routes")))
+    ws.done(held)
 
     def passages(batches):
         for b in slices(batches):
@@ -136,6 +139,7 @@ def repeated_spans(ws: Workspace, docs: DataFrame, *, window: int = 50, gram: in
             yield from pa.Table.from_batches(rows).combine_chunks().to_batches()
 
     cut = ws.keep(texts_of(routes).select("id", "text", "routes").mapInArrow(joined, "owner long, id long, start array<int>, size array<int>, words binary"))
+    ws.done(routes)
     replicas = cut.groupBy("owner").agg(F.ceil(F.count("*") / STREAM).cast("int").alias("replicas"))
     dealt = cut.join(replicas, "owner").withColumn("own", F.col("id") == F.col("owner"))
     dealt = dealt.withColumn("replica", F.explode(F.when(F.col("own"), F.sequence(F.lit(0), F.col("replicas") - 1)).otherwise(F.array(F.pmod(F.xxhash64("id"), F.col("replicas")).cast("int")))))
@@ -162,6 +166,7 @@ def repeated_spans(ws: Workspace, docs: DataFrame, *, window: int = 50, gram: in
 
     spans = dealt.repartition("owner", "replica").sortWithinPartitions("owner", "replica", F.col("own").desc(), "id").select("owner", "replica", "own", "id", "start", "size", "words").mapInArrow(stream, "id long, span struct<a:int,b:int>")
     spans = ws.keep(spans.groupBy("id").agg(F.collect_set("span").alias("spans")))
+    ws.done(cut)
     return known, texts_of(spans)
 
 
