@@ -134,7 +134,7 @@ def jaccard_classes(docs: DataFrame, *, id_col: str = "doc_id", shingle: int = 4
             order_ = np.cumsum(n > WIDE_FROM) - 1
             of_long = (n > WIDE_FROM)[text]
             more = (np.bincount(order_[text[of_long]] * (64 * WIDE_WORDS) + (mix(rank[of_long] ^ np.uint64(77)) % np.uint64(64 * WIDE_WORDS)).astype(np.int64), minlength=len(long) * 64 * WIDE_WORDS) & 1).astype(np.uint8)
-            wide = ragged(np.packbits(more.reshape(len(long), -1), axis=1).view(np.int64).ravel(), np.where(n > WIDE_FROM, WIDE_WORDS, 0))
+            wide = ragged(np.packbits(more.reshape(len(long), 64 * WIDE_WORDS), axis=1).view(np.int64).ravel(), np.where(n > WIDE_FROM, WIDE_WORDS, 0))
             length = n - -(-percent * n // 100) + (n > 0)
             typical = np.bincount(text, (rank >> np.uint64(HASH_BITS)).astype(float), texts) / np.maximum(n, 1)
             front = place < length[text]
