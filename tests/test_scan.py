@@ -59,7 +59,7 @@ def folder(tmp_path_factory):
 @pytest.fixture(scope="module")
 def tables(spark, folder):
     files, _, _ = list_files([str(folder)], parse_suffixes("ALL"), True)
-    return scan(read_files(spark, files).persist())
+    return {name: table.persist() for name, table in scan(read_files(spark, files).persist()).items()}
 
 
 def found(tables):
