@@ -319,3 +319,16 @@ def test_language_model(docs, rows, none):
     assert language_model.score(none, none).count() == 0
     if worse:
         pytest.xfail("open: on this tiny corpus of independent words the model scores held-out texts below the base (-15462 against -15009)")
+
+
+def test_language_model_clusters_all_training_texts(spark, monkeypatch):
+    class Seen(Exception):
+        pass
+
+    def clusters(train):
+        raise Seen(train.count())
+
+    monkeypatch.setattr(language_model, "ending_clusters", clusters)
+    train = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("a text").alias("text"))
+    with pytest.raises(Seen, match="^3000$"):
+        language_model.score(train.limit(1), train)
