@@ -332,3 +332,10 @@ def test_language_model_clusters_all_training_texts(spark, monkeypatch):
     train = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("a text").alias("text"))
     with pytest.raises(Seen, match="^3000$"):
         language_model.score(train.limit(1), train)
+
+
+def test_language_model_features_do_not_collide():
+    one, two = np.divmod(np.arange(language_model.CLASSES**2), language_model.CLASSES)
+    f = language_model._features(one, two)
+    assert [len(np.unique(x)) for x in f.T] == [1, language_model.CLASSES, language_model.CLASSES, language_model.CLASSES**2]
+    assert len(np.unique(f)) == 1 + 2 * language_model.CLASSES + language_model.CLASSES**2
