@@ -1,8 +1,9 @@
 """Licence recognition by sentence rules, in DataFrame operations alone.
 
 A text is cut into sentences, each is normalised (lower case, letters and digits only, single spaces), and sentences
-that are known from licences become identifiers; a known beginning stands for sentences whose end varies. The sequence
-of a text's identifiers is then read by ordered rules: a rule names the licence whose identifiers stand in a row, the
+that are known from licences become identifiers. A known sentence is also found where line breaks and comment signs
+stand between its words, and the sentences of full notices stand for all that begin with them; short references must
+match whole, as what follows ("or later") can change the licence. n_sentences counts the plain cut. The sequence of a text's identifiers is then read by ordered rules: a rule names the licence whose identifiers stand in a row, the
 rules of most identifiers first, and what a rule has read is not read again.
 
 A null or empty text has no sentences; repeated rows are read each; a text of licence words that no rule knows is told
@@ -77,6 +78,12 @@ _SPACE = r"[ \t\n\r\f\x0B]"
 #: A line that ends inside a sentence goes on in the next one.
 _WRAP = rf"([a-z0-9,]){_SPACE}*\n{_SPACE}*([a-z])"
 _CUT = rf"[.!?]+{_SPACE}+|{_SPACE}*\n{_SPACE}*"
+#: What stands between words of one sentence: anything but letters, digits and the end of a sentence.
+_BETWEEN = rf"(?![A-Za-z0-9])[^A-Za-z0-9.!?]*+(?:[.!?]++(?!{_SPACE})[^A-Za-z0-9.!?]*+)*+"
+#: Sentences of full notices, whose end may vary.
+_OPEN = ("APACHE2-COMPLY", "APACHE2-ASIS", "APACHE2-SEE", "MIT-GRANT", "MIT-NOTICE", "MIT-ASIS", "GPL3-LATER", "GPL2-LATER", "GPL-HOPE", "GPL-SEE", "BSD-GRANT", "BSD-SOURCE", "BSD-BINARY", "BSD-ENDORSE")
+#: Every known sentence has one of these; texts without are not searched.
+_STEMS = ("licens", "permission", "redistribution", "warrant", "released", "rights")
 _KEYWORDS = ("licens", "licenc", "copyright", "rights reserved")
 
 
@@ -92,11 +99,30 @@ def sentences(text: Column) -> Column:
     return F.filter(F.transform(parts, lambda s: F.trim(F.regexp_replace(s, "[^a-z0-9]+", " "))), lambda s: s != "")
 
 
+def rejoined(text: Column) -> Column:
+    """The text with its known sentences on one line each, whatever line breaks and comment signs stood between their words."""
+    out = text
+    for sentence in sorted(_known(), key=lambda x: (-len(x), x)):
+        words = sentence.split(" ")
+        # the outer words stay as they are, so that nothing around the sentence is joined or cut anew
+        end = "" if _known()[sentence] in _OPEN else r"(?![^A-Za-z0-9\n.!?]*[A-Za-z0-9])"
+        pattern = rf"(?i)\b({words[0]}){_BETWEEN}{_BETWEEN.join(words[1:-1])}{_BETWEEN}({words[-1]})\b{end}"
+        out = F.regexp_replace(out, pattern, f"$1 {' '.join(words[1:-1])} $2")
+    return out
+
+
+def _identifier(sentence: Column, known: Column) -> Column:
+    begins = [(s, name) for s, name in _known().items() if name in _OPEN]
+    open_ = F.coalesce(*[F.when(F.startswith(sentence, F.lit(s + " ")), F.lit(name)) for s, name in begins])
+    return F.coalesce(F.try_element_at(known, sentence), open_)
+
+
 def scan_licences(docs: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
     """doc_id, n_sentences, sentence_ids, licences, verdict of every document."""
     known = F.create_map(*[F.lit(x) for pair in _known().items() for x in pair])
-    rows = docs.select(F.col(id_col).alias("doc_id"), sentences(F.col("text")).alias("s"))
-    found = F.filter(F.transform("s", lambda x: F.try_element_at(known, x)), lambda x: x.isNotNull())
+    rows = docs.select(F.col(id_col).alias("doc_id"), "text", sentences(F.col("text")).alias("s"))
+    rows = rows.withColumn("j", F.when(F.col("text").rlike(rf"(?i){'|'.join(_STEMS)}"), sentences(rejoined(F.col("text")))).otherwise(F.col("s")))
+    found = F.filter(F.transform("j", lambda x: _identifier(x, known)), lambda x: x.isNotNull())
     rows = rows.select("doc_id", F.size("s").cast("long").alias("n_sentences"), F.array_join(found, ">").alias("sentence_ids"), F.exists("s", lambda x: x.rlike("|".join(_KEYWORDS))).alias("hint"))
     # what a rule has read becomes its own mark, which no later rule knows
     left, hits = F.concat(F.lit(">"), F.replace(F.col("sentence_ids"), F.lit(">"), F.lit(">>")), F.lit(">")), []

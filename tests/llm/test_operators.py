@@ -339,3 +339,80 @@ def test_language_model_features_do_not_collide():
     f = language_model._features(one, two)
     assert [len(np.unique(x)) for x in f.T] == [1, language_model.CLASSES, language_model.CLASSES, language_model.CLASSES**2]
     assert len(np.unique(f)) == 1 + 2 * language_model.CLASSES + language_model.CLASSES**2
+
+
+_NOTICES = {
+    "GPL-3.0-or-later": """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+""",
+    "Apache-2.0": """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.
+""",
+    "MIT": """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM.
+""",
+    "BSD-2-Clause": """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice,
+   this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+""",
+}
+_IDS = {
+    "GPL-3.0-or-later": "GPL3-LATER>GPL-HOPE>GPL-SEE",
+    "Apache-2.0": "APACHE2-GRANT>APACHE2-COMPLY>APACHE2-COPY>APACHE2-ASIS>APACHE2-SEE",
+    "MIT": "MIT-GRANT>MIT-NOTICE>MIT-ASIS",
+    "BSD-2-Clause": "BSD-GRANT>BSD-SOURCE>BSD-BINARY",
+}
+
+
+@pytest.mark.parametrize("sign", ["", "# ", " * ", "// "])
+def test_licences_of_canonical_notices(spark, sign):
+    notices = {**_NOTICES, "GPL-2.0-or-later": _NOTICES["GPL-3.0-or-later"].replace("version 3", "version 2").replace("software:", "software;")}
+    ids = {**_IDS, "GPL-2.0-or-later": _IDS["GPL-3.0-or-later"].replace("GPL3", "GPL2")}
+    rows = [(name, "".join(sign + line + "\n" for line in ["Copyright 2024 A. Person", "", *t.splitlines()])) for name, t in notices.items()]
+    got = {r["doc_id"]: (r["sentence_ids"], r["licences"], r["verdict"]) for r in licences.scan_licences(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    assert got == {name: (ids[name], name, "recognised") for name in notices}
+
+
+def test_licences_of_varied_ends(spark):
+    grant, notice = " ".join(_NOTICES["MIT"].split()).split(": ")
+    rows = [
+        (1, f"{grant}, which bind all:\n{notice.replace('of the Software.', 'of the Software and its manuals.', 1)}"),
+        (2, "Licensed under the GNU General Public License version 3 or later."),  # not version 3 only
+        (3, "Licensed under the Apache License, Version 2.0\nThe License can be read online."),
+        (4, "licensed under the Mit" + "\u4e2d" * 100_000 + " license" + ".-" * 50_000 + "x"),
+    ]
+    got = {r["doc_id"]: r["licences"] for r in licences.scan_licences(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: "MIT", 2: "", 3: "Apache-2.0", 4: ""}
