@@ -28,7 +28,8 @@ def link_vectors(df: DataFrame, *, id_col: str = "vec_id", vector_col: str = "em
     """vec_id, n_links, component_id, kept of every row."""
     spark = df.sparkSession
     ws = Workspace(spark)
-    vectors = usable(df, id_col, vector_col)
+    # -0.0 is 0.0: grouping takes them as equal, the text that members are joined by would not
+    vectors = usable(df, id_col, vector_col).withColumn("v", F.transform("v", lambda x: F.when(x == 0, F.lit(0.0)).otherwise(x)))
     classes = ws.keep(vectors.groupBy("v").agg(F.min("id").alias("id"), F.count("*").alias("n")))
     members = ws.keep(vectors.select("id", F.md5(F.to_json("v")).alias("h")).join(classes.select(F.col("id").alias("rep"), "n", F.md5(F.to_json("v")).alias("h")), "h").select("id", "rep", "n"))
     n = classes.count()

@@ -416,3 +416,9 @@ def test_licences_of_varied_ends(spark):
     ]
     got = {r["doc_id"]: r["licences"] for r in licences.scan_licences(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1: "MIT", 2: "", 3: "Apache-2.0", 4: ""}
+
+
+def test_near_vectors_with_negative_zeros(spark):
+    df = spark.createDataFrame([(1, [0.0, 1.0]), (2, [-0.0, 1.0]), (3, [-0.0, 1.0]), (4, [1.0, -0.0])], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in near_vectors.link_vectors(df).collect()}
+    assert got == {1: (2, 1, True), 2: (2, 1, False), 3: (2, 1, False), 4: (0, 4, True)}
