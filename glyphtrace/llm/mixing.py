@@ -5,7 +5,8 @@ times, certainly and whole; what is left of the target is drawn by Pareto order
 random odds over their inclusion odds, and the first ones are taken whole until the words nearest the rest are reached.
 
 Null text has size 0, null sources form one source (last in order), an empty table gives an empty result, and of
-documents with equal ranks the smaller id comes first. Repeated rows are ranked alike and taken alike.
+documents with equal ranks the smaller id comes first. A document without an id is drawn by a hash of its text.
+Repeated rows are ranked alike and taken alike.
 """
 
 from __future__ import annotations
@@ -53,7 +54,8 @@ def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", weights: tuple[float
     per = source_targets(sizes, weights, share, most)
     small = per.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    random = (F.conv(F.substring(F.md5(F.concat(F.lit(salt), F.col("doc_id").cast("string"))), 1, 12), 16, 10).cast("double") + 0.5) / F.lit(float(1 << 48))
+    key = F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce("row.text", F.lit(""))))
+    random = (F.conv(F.substring(F.md5(F.concat(F.lit(salt), key)), 1, 12), 16, 10).cast("double") + 0.5) / F.lit(float(1 << 48))
     rows = _joined(sizes, per, small).withColumn("whole", F.floor(ratio).cast("long")).withColumn("part", ratio - F.floor(ratio))
     odds = (random / (1 - random)) / (F.col("part") / (1 - F.col("part")))
     rows = rows.withColumn("rank", F.when(F.col("part") > 0, odds / (1 + odds))).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))

@@ -422,3 +422,10 @@ def test_near_vectors_with_negative_zeros(spark):
     df = spark.createDataFrame([(1, [0.0, 1.0]), (2, [-0.0, 1.0]), (3, [-0.0, 1.0]), (4, [1.0, -0.0])], "vec_id long, embedding array<double>")
     got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in near_vectors.link_vectors(df).collect()}
     assert got == {1: (2, 1, True), 2: (2, 1, False), 3: (2, 1, False), 4: (0, 4, True)}
+
+
+def test_mixing_draws_documents_without_ids(spark):
+    df = spark.createDataFrame([(None, f"some words of text {k}", "a") for k in range(40)] + [(1, "more words " * 400, "b")], "doc_id long, text string, source string")
+    got = [r for r in mixing.mix_sources(df, weights=(1.0, 20.0), share=0.1, most=1.0).collect() if r["doc_id"] is None]
+    assert len(got) == 40 and 0 < got[0]["target"] < got[0]["source_size"]
+    assert abs(sum(r["taken"] for r in got) - got[0]["target"]) <= 3.5 and sum(r["taken"] for r in got) > 0
