@@ -137,35 +137,39 @@ def dense_sum(df: DataFrame, per_task, length: int, kind=np.float64, chunk: int
     return out
 
 
-#: Bits of a set of ids that is sent to every task. A fuller set only lets more ids through, which later joins remove.
-BITMAP_BITS = 25
+#: Bits of a set of ids that is sent to every task: 32 for each id up to these bounds (128 MB). A fuller set only lets
+#: more ids through, which later joins remove.
+LEAST_BITS, MOST_BITS = 16, 30
 
 
-def _slot(ids: np.ndarray) -> np.ndarray:
-    return ((ids.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BITMAP_BITS)).astype(np.int64)
+def _slot(ids: np.ndarray, bits: int) -> np.ndarray:
+    return ((ids.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
 
 
 def id_bitmap(ids: DataFrame) -> np.ndarray:
-    """A superset of the column `id`, in 2 ** BITMAP_BITS bits whatever the number of ids."""
-    chunk = 1 << 13
+    """A superset of the column `id`, as bits; at most 2 ** MOST_BITS of them, whatever the number of ids."""
+    chunk = 1 << 16
+    bits = min(MOST_BITS, max(LEAST_BITS, (32 * ids.count()).bit_length()))
 
     def run(batches):
-        bits = np.zeros(1 << BITMAP_BITS, bool)
-        for b in batches:
-            bits[_slot(np.asarray(b["id"]))] = True
-        used = np.flatnonzero(bits.reshape(-1, chunk).any(1))
-        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array([np.packbits(bits[k * chunk : (k + 1) * chunk]).tobytes() for k in used], pa.binary())], names=["chunk", "part"])
+        slots = [np.unique(_slot(np.asarray(b["id"]), bits)) for b in batches]
+        slots = np.unique(np.concatenate(slots)) if slots else np.zeros(0, np.int64)
+        used, first = np.unique(slots // chunk, return_index=True)
+        parts = [x.astype(np.uint16).tobytes() for x in np.split(slots % chunk, first[1:])] if len(used) else []
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(parts, pa.binary())], names=["chunk", "part"])
 
     def either(t: pa.Table) -> pa.Table:
-        out = np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in t["part"].to_pylist()])
-        return pa.table({"chunk": pa.array([t["chunk"][0].as_py()], pa.int32()), "part": pa.array([out.tobytes()], pa.binary())})
+        held = np.zeros(chunk, np.uint8)
+        for x in t["part"].to_pylist():
+            held[np.frombuffer(x, np.uint16)] = 1
+        return pa.table({"chunk": pa.array([t["chunk"][0].as_py()], pa.int32()), "part": pa.array([np.packbits(held).tobytes()], pa.binary())})
 
-    out = np.zeros(1 << (BITMAP_BITS - 3), np.uint8)
+    out = np.zeros(1 << (bits - 3), np.uint8)
     for k, part in ids.mapInArrow(run, "chunk int, part binary").groupBy("chunk").applyInArrow(either, "chunk int, part binary").collect():
         out[k * chunk // 8 : (k + 1) * chunk // 8] = np.frombuffer(part, np.uint8)
     return out
 
 
 def in_bitmap(bitmap: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    at = _slot(ids)
+    at = _slot(ids, len(bitmap).bit_length() + 2)
     return (bitmap[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)

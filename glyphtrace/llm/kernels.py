@@ -108,14 +108,6 @@ class Words:
         return mix(_WORDS.slices(self.hash, self.first[:-1], self.first[1:]) + self.count.astype(np.uint64))
 
 
-def byte_grams(raw: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, valid) of the n bytes from each byte on; valid where all n lie in one text."""
-    total = len(raw)
-    at = np.arange(total)
-    end = np.repeat(offsets[1:], np.diff(offsets))
-    return mix(_BYTES.slices(_BYTE[raw], at, np.minimum(at + n, total))), at + n <= end
-
-
 def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     """Minimum of values[i : i + width] for each i (of what there is, at the end)."""
     out, done = values.copy(), 1

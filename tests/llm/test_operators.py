@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from glyphtrace.llm import language_model, licences, mixing, near_vectors, nearest, packing, quality, shingle_join, substring_dedup, suffix_dedup
+from glyphtrace.llm import common, language_model, licences, mixing, near_vectors, nearest, packing, quality, shingle_join, substring_dedup, suffix_dedup
 from glyphtrace.llm.automaton import SuffixAutomaton
 from glyphtrace.llm.kernels import Words, minimizers
 
@@ -150,6 +150,60 @@ def test_suffix_dedup(docs, rows, none, window, gram):
     assert suffix_dedup.remove_repeated_bytes(none).count() == 0
 
 
+@pytest.mark.parametrize("keep,gram,step", [("none", 12, 8), ("first", 12, 8), ("first", 40, 11)])
+def test_suffix_dedup_of_words(docs, rows, none, keep, gram, step):
+    places = defaultdict(list)
+    for k, t, *_ in rows:
+        w = words(t)
+        for i in range(len(w) - 49):
+            places[tuple(w[i : i + 50])].append((k, i))
+    got = {r["doc_id"]: r for r in suffix_dedup.remove_repeated(docs, unit="words", keep=keep, gram=gram, step=step).collect()}
+    for k, t, *_ in rows:
+        w = words(t)
+        left = [True] * len(w)
+        for i in range(len(w) - 49):
+            at = places[tuple(w[i : i + 50])]
+            if len(at) > 1 and (keep == "none" or min(at) != (k, i)):
+                left[i : i + 50] = [False] * 50
+        kept = got[k]["kept"]
+        assert (got[k]["n_units"], got[k]["n_removed"]) == (len(w), left.count(False)), k
+        assert words(bytes(kept).decode() if kept is not None else t) == [x for x, y in zip(w, left, strict=True) if y], k
+    assert sum(r["n_removed"] for r in got.values()) > 500
+    assert suffix_dedup.remove_repeated(none, unit="words", keep=keep).count() == 0
+
+
+def test_suffix_dedup_counts_passages(docs, rows):
+    count = Counter(tuple(w[i : i + 50]) for w in (words(t) for _, t, *_ in rows) for i in range(len(w) - 49))
+    got = {r["doc_id"]: r for r in suffix_dedup.repeated_bytes_and_passages(docs).collect()}
+    want = _repeated(rows, 400)
+    for k, t, *_ in rows:
+        w, under = words(t), set()
+        for i in range(len(w) - 49):
+            if count[tuple(w[i : i + 50])] > 1:
+                under |= set(range(i, i + 50))
+        assert got[k]["n_passage_words"] == len(under) and (got[k]["n_bytes"], got[k]["n_removed"], got[k]["n_spans"], got[k]["kept_sha256"]) == want[k]
+
+
+def test_suffix_dedup_of_rows(docs, rows, none):
+    """Texts are those that remove_repeated keeps; other columns stay, and rows without an id or with the same one are rows of their own."""
+    told = {r["doc_id"]: r for r in suffix_dedup.remove_repeated(docs, unit="words", keep="first").collect()}
+    got = {r["doc_id"]: r for r in suffix_dedup.without_repeats(docs).collect()}
+    want = {k: t if told[k]["kept"] is None else bytes(told[k]["kept"]).decode() for k, t, *_ in rows if not 0 < told[k]["n_units"] == told[k]["n_removed"]}
+    assert {k: r["text"] for k, r in got.items()} == want and suffix_dedup.without_repeats(docs).columns == docs.columns
+    assert len(want) < len(rows) and 3 in want and 4 in want
+    odd = docs.filter("doc_id in (0, 5, 6)").withColumn("doc_id", F.lit(None).cast("long")).unionAll(docs.filter("doc_id in (12, 17)").withColumn("doc_id", F.lit(1).cast("long"))).coalesce(1)
+    assert sorted(len(words(r["text"])) for r in suffix_dedup.without_repeats(odd).collect()) == [0, 50, 50, 120, 4000]
+    assert suffix_dedup.without_repeats(none).count() == 0
+
+
+def test_id_bitmap(spark):
+    ids = np.random.Generator(np.random.PCG64(1)).integers(0, 1 << 40, 5000)
+    held = common.id_bitmap(spark.createDataFrame([(int(x),) for x in ids], "id long").repartition(3))
+    others = np.setdiff1d(np.arange(100_000), ids)
+    assert common.in_bitmap(held, ids).all() and common.in_bitmap(held, others).mean() < 0.06
+    assert not common.in_bitmap(common.id_bitmap(spark.createDataFrame([], "id long")), others).any()
+
+
 def test_suffix_dedup_of_repeated_rows(docs):
     twice = docs.filter("doc_id = 17").unionAll(docs.filter("doc_id = 17"))
     assert [r["n_removed"] == r["n_bytes"] for r in suffix_dedup.remove_repeated_bytes(twice).collect()] == [True, True]
