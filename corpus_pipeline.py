@@ -15,7 +15,7 @@ from glyphtrace.llm.mixing import mix
 from glyphtrace.llm.packing import pack
 from glyphtrace.llm.quality import keep_documents
 from glyphtrace.llm.shingle_join import jaccard_classes
-from glyphtrace.llm.suffix_dedup import remove_repeated_bytes
+from glyphtrace.llm.suffix_dedup import without_repeats
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,13 +31,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Strings of 400 bytes that stand anywhere else too are cut out; documents of which nothing is left go."""
-    cut = remove_repeated_bytes(docs).filter("n_removed > 0").select(F.col("doc_id").alias("id_"), F.struct("kept", "n_removed", "n_bytes").alias("cut_"))
-    whole = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row_"), docs["doc_id"].alias("key_"))
-    out = whole.join(cut, F.col("key_") == F.col("id_"), "left").filter("cut_ is null or cut_.n_removed < cut_.n_bytes")
-    text = F.when(F.col("cut_").isNull(), F.col("row_.text")).otherwise(F.make_valid_utf8(F.col("cut_.kept")))
-    changed = {"text": text, "n_chars": F.when(F.col("cut_").isNull(), F.col("row_.n_chars")).otherwise(F.length(text).cast("long")) if "n_chars" in docs.columns else None}
-    return out.select(*[(changed[c] if c in changed else F.col(f"row_.`{c}`")).alias(c) for c in docs.columns])
+    """Of every passage of 50 words or more that stands several times, all but the first place are cut out.
+
+    First is the smallest doc_id, then the place in the text. Documents of which no word is left go; documents without
+    words pass as they are. Rows that lack or repeat a doc_id keep apart by their order in the written docs.
+    """
+    out = without_repeats(docs, unit="words", keep="first")
+    return out.withColumn("n_chars", F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), "n_chars")) if "n_chars" in docs.columns else out
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
