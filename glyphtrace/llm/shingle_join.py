@@ -31,7 +31,7 @@ HASH_BITS = 58
 PARITY_WORDS = 16
 #: Longer sets have a second bitmap.
 WIDE_FROM, WIDE_WORDS = 700, 128
-#: Rows of a prefix list that one task compares with each other; longer lists meet block by block.
+#: Rows of a prefix list that one task compares with as many others; longer lists meet block by block.
 LIST_BLOCK = 2048
 
 
@@ -65,32 +65,36 @@ def _sketch(docs: DataFrame, n: int, lower: bool) -> np.ndarray:
     return dense_sum(docs, run, 1 << SKETCH_BITS)
 
 
-def _whole_lists(batches, names: tuple[str, ...], most: int = 1 << 20):
-    """Columns of sorted rows, cut so that rows of equal first column stay together (lists longer than `most` are cut)."""
+def _whole_lists(batches, names: tuple[str, ...], most: int, ranged: bool = False):
+    """(columns of sorted rows, whether their first list began before them, whether their last one goes on after them).
+
+    Rows of equal first column stay together up to `most` of them. ranged: the first and last list of the task may go on in others.
+    """
 
     def columns(b):
         return [np.asarray(b[c].flatten()).reshape(-1, PARITY_WORDS) if c == "parity" else np.asarray(b[c]) for c in names]
 
-    held, waiting = None, []
+    held, waiting, begun = None, [], ranged
     batches = iter(batches)
     while True:
         b = next(batches, None)
         if b is not None and b.num_rows:
             waiting.append(columns(b))
-        if not waiting or (b is not None and sum(len(w[0]) for w in waiting) < 40_000):
+        if not waiting or (b is not None and sum(len(w[0]) for w in waiting) < min(most, 40_000)):
             if b is None:
                 break
             continue
         held = [np.concatenate(x) for x in zip(*([held] if held else []), *waiting, strict=True)]
         waiting = []
         cut = int(np.searchsorted(held[0], held[0][-1], side="left"))
-        if len(held[0]) - cut > most:
+        if long := len(held[0]) - cut > most:
             cut = len(held[0])
         if cut:
-            yield [x[:cut] for x in held]
+            yield [x[:cut] for x in held], begun, long
+            begun = long
             held = [x[cut:] for x in held] if cut < len(held[0]) else None
     if held is not None and len(held[0]):
-        yield held
+        yield held, begun, ranged
 
 
 def _pivots(counts: np.ndarray, level: np.ndarray, fragments: int) -> np.ndarray:
@@ -106,8 +110,12 @@ def _pivots(counts: np.ndarray, level: np.ndarray, fragments: int) -> np.ndarray
     return np.array(out, np.uint64)
 
 
-def jaccard_classes(docs: DataFrame, *, id_col: str = "doc_id", shingle: int = 4, percent: int = 85, lower: bool = True, fragments: int = 4) -> DataFrame:
-    """doc_id, n_shingles, component_id: documents linked by 100 * intersection >= percent * union, and what links reach."""
+def jaccard_classes(docs: DataFrame, *, id_col: str = "doc_id", shingle: int = 4, percent: int = 85, lower: bool = True, fragments: int = 4, most: int = 1 << 18, block: int = LIST_BLOCK) -> DataFrame:
+    """doc_id, n_shingles, component_id: documents linked by 100 * intersection >= percent * union, and what links reach.
+
+    most: rows of a prefix list that a task holds at once; block: rows of one that it compares with as many others.
+    Both bound memory and leave the result as it is.
+    """
     spark = docs.sparkSession
     ws = Workspace(spark)
     docs = docs.select(F.col(id_col).alias("doc_id"), "text")
@@ -157,9 +165,10 @@ def jaccard_classes(docs: DataFrame, *, id_col: str = "doc_id", shingle: int = 4
     sure, asked = (wide_rows.mapInArrow(side(w), wide_rows.schema) for w in (False, True))
     classes = ws.keep(sure.unionAll(asked.join(copies, "id", "left_anti")))
 
-    # prefix lists in order of size: a row stays if a neighbour's size is within the similarity, as only then a pair can link
+    # prefix lists in order of size: a row stays if a neighbour's size is within the similarity, as only then a pair can link;
+    # tasks take ranges, so that a long list is dealt over several: rows beside a cut stay, as their neighbour is not seen
     def lists(batches):
-        for t, i, n, p, typical in _whole_lists(batches, ("token", "id", "n", "pos", "typical")):
+        for (t, i, n, p, typical), begun, goes_on in _whole_lists(batches, ("token", "id", "n", "pos", "typical"), most, ranged=True):
             def fits(x, y):
                 return np.minimum(n[x], n[y]) * 100 >= np.maximum(n[x], n[y]) * percent
 
@@ -168,26 +177,31 @@ def jaccard_classes(docs: DataFrame, *, id_col: str = "doc_id", shingle: int = 4
             alone = np.ones(len(t), bool)  # lists of two: what they share from this shingle on must suffice, too
             alone[1:] = t[1:] != t[:-1]
             size = np.diff(np.append(np.flatnonzero(alone), len(t)))
-            two = np.flatnonzero(alone)[size == 2]
+            head = np.flatnonzero(alone)
+            part = np.zeros(len(head), bool)
+            part[0], part[-1] = part[0] or begun, part[-1] or goes_on
+            two = head[(size == 2) & ~part]
             reach = np.minimum(p[two], p[two + 1]) + np.minimum(n[two] - p[two], n[two + 1] - p[two + 1])
             beside[two] &= reach * (100 + percent) >= (n[two] + n[two + 1]) * percent
             keep = np.zeros(len(t), bool)
             keep[:-1] |= beside
             keep[1:] |= beside
+            keep[0], keep[-1] = keep[0] or begun, keep[-1] or goes_on
             if not keep.any():
                 continue
-            t, i, n, p, typical = (x[keep] for x in (t, i, n, p, typical))
+            part = np.repeat(part, size)
+            t, i, n, p, typical, part = (x[keep] for x in (t, i, n, p, typical, part))
             head = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
             of = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(t))))
             order = np.lexsort((i, -typical, of))
             hub = i[order][head][of]
             before = np.concatenate([[0], i[:-1]])
             before[head] = i[head]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (t, i, n, p, hub, before)], names=["token", "id", "n", "pos", "hub", "before"])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (t, i, n, p, hub, before, part)], names=["token", "id", "n", "pos", "hub", "before", "part"])
 
     spread = classes.select("id", "n", "typical", F.posexplode("prefix").alias("pos", "token"))
-    spread = spread.repartition("token").sortWithinPartitions("token", "n", "id").select("token", "id", "n", "pos", "typical")
-    shared = ws.keep(spread.mapInArrow(lists, "token long, id long, n long, pos int, hub long, before long"))
+    spread = spread.repartitionByRange("token", "n", "id").sortWithinPartitions("token", "n", "id").select("token", "id", "n", "pos", "typical")
+    shared = ws.keep(spread.mapInArrow(lists, "token long, id long, n long, pos int, hub long, before long, part boolean"))
 
     parity = classes.select("id", "n", "parity", "wide")
 
@@ -218,20 +232,28 @@ def jaccard_classes(docs: DataFrame, *, id_col: str = "doc_id", shingle: int = 4
         return ws.keep(overlap.filter(F.col("common") * 100 >= (F.col("na") + F.col("nb") - F.col("common")) * percent).select("a", "b"))
 
     votes = shared.filter("id <> hub").groupBy("id", F.col("hub").alias("other")).agg(F.count("*").alias("v")).unionAll(shared.filter("id <> before").groupBy("id", F.col("before").alias("other")).agg((F.count("*") - 0.5).alias("v")))
+    # the hubs of one list's parts meet the smallest of them
+    parts = shared.filter("part").groupBy("token").agg(F.min("hub").alias("other"), F.max("hub").alias("high")).filter("other < high")
+    votes = votes.unionAll(shared.filter("part and id = hub").join(parts, "token").filter("id <> other").select("id", "other", F.lit(1e9).alias("v")))
     best = votes.groupBy("id").agg(F.max(F.struct("v", "other"))["other"].alias("other"))
     first = linked(best.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct())
     joined = ws.keep(components(ws, classes.select("id"), first))
 
-    # lists whose documents are in several classes: all their pairs across classes that bitmaps and places allow
+    # lists whose documents are in several classes: all their pairs across classes that bitmaps and places allow. Rows of
+    # a list's largest class do not meet each other, so a long list of one class and a few others costs one row each
     listed = ws.keep(shared.select("token", "id", "n", "pos").join(joined, "id"))
-    per = listed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.ceil(F.count("*") / LIST_BLOCK).cast("int").alias("blocks")).filter("low < high")
-    mixed = listed.join(per.select("token", "blocks"), "token").join(parity.select("id", "parity"), "id").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    several = listed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("token")
+    mixed = ws.keep(listed.join(several, "token"))
+    size = mixed.groupBy("token", "component").agg(F.count("*").alias("c")).groupBy("token").agg(F.max(F.struct("c", "component")).alias("top"), F.sum("c").alias("c"))
+    size = size.select("token", F.col("top.component").alias("top"), F.ceil((F.col("c") - F.col("top.c")) / block).cast("int").alias("few"), F.ceil(F.col("top.c") / block).cast("int").alias("many"))
+    mixed = mixed.join(size, "token").join(parity.select("id", "parity"), "id").withColumn("in_top", F.col("component") == F.col("top"))
+    mixed = mixed.withColumn("block", F.when(F.col("in_top"), F.col("few") + F.pmod(F.xxhash64("id"), F.col("many"))).otherwise(F.pmod(F.xxhash64("id"), F.col("few"))).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("few") - 1 + F.when(F.col("in_top"), 0).otherwise(F.col("many")))).alias("other")
     dealt = mixed.select("token", "id", "n", "pos", "component", "parity", "block", other)  # block i meets block j in a list of its own, i <= j
     dealt = dealt.select(F.xxhash64("token", F.least("block", "other"), F.greatest("block", "other")).alias("list"), "id", "n", "pos", "component", "parity", (F.col("block") <= F.col("other")).cast("int").alias("left"), (F.col("block") >= F.col("other")).cast("int").alias("right"))
 
     def across(batches):
-        for t, i, n, p, comp, left, right, bits in _whole_lists(batches, ("list", "id", "n", "pos", "component", "left", "right", "parity")):
+        for (t, i, n, p, comp, left, right, bits), *_ in _whole_lists(batches, ("list", "id", "n", "pos", "component", "left", "right", "parity"), 1 << 20):  # twice `block` rows a list
             head = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
             size = np.diff(np.append(head, len(t)))
             out = []

@@ -74,7 +74,8 @@ def test_words_and_minimizers(rows):
         assert i + int(np.argmin(g[i : i + 7])) in at
 
 
-def test_shingle_join(docs, rows, none):
+@pytest.mark.parametrize("bounds", [{}, {"most": 2, "block": 3}])
+def test_shingle_join(docs, rows, none, bounds):
     sets = {}
     for k, t, *_ in rows:
         w = words(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
@@ -90,7 +91,7 @@ def test_shingle_join(docs, rows, none):
                     reach.add(x)
                     todo += near[x]
             want |= dict.fromkeys(reach, k)
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in shingle_join.jaccard_classes(docs).collect()}
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in shingle_join.jaccard_classes(docs, **bounds).collect()}
     assert got == {k: (len(sets[k]), want[k]) for k in sets} and len(set(want.values())) < len(want) - 5
     assert shingle_join.jaccard_classes(none).count() == 0
 
@@ -295,9 +296,10 @@ def vectors(spark):
     return spark.createDataFrame(v + odd, "vec_id long, embedding array<double>, id string")
 
 
-def test_nearest(vectors):
+@pytest.mark.parametrize("block_rows", [4096, 40])
+def test_nearest(vectors, block_rows):
     got = defaultdict(list)
-    for r in nearest.nearest_neighbours(vectors, F.col("vec_id") % 50 == 0).orderBy("query_id", "rank").collect():
+    for r in nearest.nearest_neighbours(vectors, F.col("vec_id") % 50 == 0, block_rows=block_rows).orderBy("query_id", "rank").collect():
         got[r["query_id"]].append((r["vec_id"], r["score"]))
     x, hits = _vectors(), 0
     assert set(got) == {0, 50, 100, 150, 200, 250}
@@ -310,6 +312,34 @@ def test_nearest(vectors):
     assert nearest.nearest_neighbours(vectors.filter("vec_id < 0"), F.lit(True)).count() == 0
 
 
+def test_nearest_of_repeated_rows(spark):
+    x = _vectors(n=130)
+    rows = [(k, v.tolist()) for k, v in enumerate(x)]
+    again = [(0, (x[0] + 9).tolist()), (3, (x[0] - 0.01).tolist()), (None, x[0].tolist())]
+    df = spark.createDataFrame(rows + rows + again, "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for r in nearest.nearest_neighbours(df, F.col("vec_id") % 10 == 0, block_rows=8).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["vec_id"], r["rank"], r["score"]))
+    hits = 0
+    for q in range(0, 130, 10):
+        asks = min([*[v for k, v in rows if k == q], *[v for k, v in again if k == q]])
+        best = {}
+        for k, v in rows + again:
+            if k is not None and k != q:
+                best[k] = min(best.get(k, math.inf), float(np.sqrt(((np.array(v) - asks) ** 2).sum())))
+        want = sorted(best, key=lambda k: (best[k], k))[:10]
+        assert [r for _, r, _ in got[q]] == list(range(1, 11)) and len({k for k, *_ in got[q]}) == 10
+        assert all(s == pytest.approx(best[k], abs=1e-9) for k, _, s in got[q])
+        hits += len({k for k, *_ in got[q]} & set(want))
+    assert hits >= 0.9 * 130 and len(got) == 13
+
+
+def test_nearest_of_equal_vectors(spark):
+    df = spark.createDataFrame([(k, [1.0, 2.0, 3.0] if k % 3 else [float(k), 0.0, 1.0]) for k in range(600)], "vec_id long, embedding array<double>")
+    got = nearest.nearest_neighbours(df, F.col("vec_id") % 100 == 0, block_rows=16).collect()
+    assert len(got) == 60 and all(r["score"] == 0 and r["vec_id"] == [1, 2, 4, 5, 7, 8, 10, 11, 13, 14][r["rank"] - 1] for r in got if r["query_id"] % 3)
+
+
 def test_near_vectors(vectors):
     x = _vectors()
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
