@@ -340,11 +340,12 @@ def test_nearest_of_equal_vectors(spark):
     assert len(got) == 60 and all(r["score"] == 0 and r["vec_id"] == [1, 2, 4, 5, 7, 8, 10, 11, 13, 14][r["rank"] - 1] for r in got if r["query_id"] % 3)
 
 
-def test_near_vectors(vectors):
+@pytest.mark.parametrize("bounds", [{}, {"block": 5}, {"most_pivots": 12, "block": 20}])
+def test_near_vectors(vectors, bounds):
     x = _vectors()
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     near = u @ u.T >= 0.95
-    got = {r["vec_id"]: r for r in near_vectors.link_vectors(vectors).collect()}
+    got = {r["vec_id"]: r for r in near_vectors.link_vectors(vectors, **bounds).collect()}
     assert len(got) == 306 and all(got[k]["n_links"] == 0 and got[k]["kept"] for k in range(1000, 1006))
     found, want = sum(got[k]["n_links"] for k in range(300)), int(near.sum()) - 300
     assert 0.9 * want <= found <= want and all(got[k]["n_links"] <= near[k].sum() - 1 for k in range(300))
@@ -502,6 +503,22 @@ def test_licences_of_varied_ends(spark):
     assert got == {1: "MIT", 2: "", 3: "Apache-2.0", 4: ""}
 
 
+def test_near_vectors_of_split_lists(spark):
+    """Splitting lists and blocks changes no row; single and double precision agree."""
+    x = _vectors(seed=9, n=200).astype(np.float32)
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<float>")
+    one = near_vectors.link_vectors(df, threshold=0.6).orderBy("vec_id").collect()
+    assert one == near_vectors.link_vectors(df, threshold=0.6, block=4).orderBy("vec_id").collect()
+    assert one == near_vectors.link_vectors(df.withColumn("embedding", F.col("embedding").cast("array<double>")), threshold=0.6, block=30).orderBy("vec_id").collect()
+    assert sum(r["n_links"] for r in one) > 100
+
+
+def test_near_vectors_of_repeated_rows(spark):
+    df = spark.createDataFrame([(1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.01]), (None, [0.0, 1.0]), (4, [0.0, 1.0]), (5, None), (5, [0.0, 0.0]), (None, None)], "vec_id long, embedding array<double>")
+    got = sorted(((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in near_vectors.link_vectors(df).collect()), key=str)
+    assert got == sorted([(1, 2, 1, True), (1, 2, 1, True), (2, 2, 1, False), (None, 0, None, None), (4, 0, 4, True), (5, 0, 5, True), (5, 0, 5, True), (None, 0, None, None)], key=str)
+
+
 def test_near_vectors_with_negative_zeros(spark):
     df = spark.createDataFrame([(1, [0.0, 1.0]), (2, [-0.0, 1.0]), (3, [-0.0, 1.0]), (4, [1.0, -0.0])], "vec_id long, embedding array<double>")
     got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in near_vectors.link_vectors(df).collect()}
