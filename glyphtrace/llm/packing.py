@@ -8,9 +8,15 @@ dot-product of demand and filling, or the smallest weighted norm of what stays f
 The decision only depends on how many pieces there are of each length. So the driver gets that histogram (at most
 `capacity` numbers, whatever the input), fits runs of equal pieces into runs of equal sequences, and the resulting
 plan, a list of runs, is read by every task to place its own pieces by their rank among those of their length. The
-packing is thus one over the whole corpus and not one per partition, and no task ever holds more than a batch.
+packing is thus one over the whole corpus and not one per partition, and no task ever holds more than a batch. Pieces
+that fill a sequence need no rank: each is one, under a negative number. The others are ranked within buckets that
+pieces are dealt to in turn, so a length, id or text that very many of them share is no hot key.
 
-Null text packs as an empty text (the end id alone); repeated rows are packed each; an empty table gives no rows.
+By default only the tokens bind: a sequence of `capacity` tokens holds no more documents than that and no more attention
+than their square. All three residuals count in the choice of the sequence.
+
+Null text packs as an empty text (the end id alone); repeated rows are packed each; rows without an id are packed, too;
+among pieces of one length ties go by id, piece and content; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,8 +33,8 @@ from pyspark.sql import functions as F
 from glyphtrace.llm.common import Workspace, slices, table
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, bucket int"
-#: Pieces of one length are ranked within this many buckets of documents, whose counts are then summed up.
-BUCKETS = 256
+#: Pieces of one length are ranked within buckets of about so many pieces in all, BUCKETS of them at most.
+BUCKET_ROWS, BUCKETS = 1 << 18, 1 << 16
 
 
 @lru_cache(maxsize=2)
@@ -57,7 +63,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, capacity: int, end_id: int =
     """One row per piece, without its place yet."""
 
     def run(batches):
-        bpe = encoding(vocabulary)
+        bpe, turn = encoding(vocabulary), 0
         for b in slices(batches):
             out = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32")}
             for doc, text in zip(b["doc_id"].to_pylist(), b["text"].to_pylist(), strict=True):
@@ -70,7 +76,9 @@ def token_pieces(docs: DataFrame, vocabulary: str, capacity: int, end_id: int =
                     for name, x in zip(out, (doc, k, at, to - at, zlib.crc32(raw[4 * at : 4 * to])), strict=True):
                         out[name].append(x)
                     at, k = to, k + 1
-            bucket = np.asarray([zlib.crc32(str(d).encode()) % BUCKETS for d in out["doc_id"]], np.int32)
+            rows = len(out["doc_id"])
+            bucket = ((turn + np.arange(rows)) * 40503 % BUCKETS).astype(np.int32)  # in turn, well apart
+            turn += rows
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([*(pa.array(v, k) for v, k in zip(out.values(), kinds, strict=True)), pa.array(bucket)], names=[*out, "bucket"])
 
@@ -120,14 +128,16 @@ def best_fit(histogram: dict[int, int], capacity: int, documents: int, attention
     return np.array(plan, np.int64).reshape(-1, 5)
 
 
-def pack(docs: DataFrame, *, vocabulary: str | None = None, capacity: int = 1024, documents: int | None = None, attention: float | None = None, weights: tuple[float, float, float] = (1.0, 0.0, 0.0), score: str = "norm", end_id: int = 2) -> DataFrame:
+def pack(docs: DataFrame, *, vocabulary: str | None = None, capacity: int = 1024, documents: int | None = None, attention: float | None = None, weights: tuple[float, float, float] = (1.0, 1.0, 1.0), score: str = "norm", end_id: int = 2) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece."""
     spark = docs.sparkSession
     ws = Workspace(spark)
     pieces = ws.keep(token_pieces(docs, vocabulary or default_vocabulary(), capacity, end_id))
-    counts = pieces.groupBy("length", "bucket").count()
-    histogram = {r[0]: r[1] for r in counts.groupBy("length").agg(F.sum("count")).collect()}  # `capacity` rows at most
-    plan = best_fit(histogram, capacity, documents or capacity, attention or float(capacity) ** 2, weights, score)
+    full = (F.col("length") == capacity) & F.lit(capacity**2 <= (attention or float(capacity) ** 2))
+    rest = pieces.filter(~full)
+    sizes = {r[0]: r[1] for r in rest.groupBy("length").count().collect()}  # `capacity` rows at most
+    buckets = min(BUCKETS, max(16, sum(sizes.values()) // BUCKET_ROWS))
+    plan = best_fit(sizes, capacity, documents or capacity, attention or float(capacity) ** 2, weights, score)
     order = np.lexsort((plan[:, 1], plan[:, 0]))
     shared = spark.sparkContext.broadcast(plan[order])
 
@@ -141,12 +151,15 @@ def pack(docs: DataFrame, *, vocabulary: str | None = None, capacity: int = 1024
             row = plan[np.searchsorted(key, (length << 44) + rank, side="right") - 1]
             yield pa.RecordBatch.from_arrays([*(b[c] for c in b.schema.names if c != "rank"), pa.array(row[:, 2] + rank - row[:, 1]), pa.array(row[:, 3])], names=[*(c for c in b.schema.names if c != "rank"), "sequence_id", "offset"])
 
+    rest = rest.withColumn("bucket", F.col("bucket") % buckets)
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(F.col("length").alias("l"), F.col("bucket").alias("b"), F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))
-    within = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece")
-    ranked = pieces.withColumn("n", F.row_number().over(within) - 1).join(F.broadcast(starts), (F.col("length") == F.col("l")) & (F.col("bucket") == F.col("b")))  # capacity * BUCKETS rows at most
+    starts = rest.groupBy("length", "bucket").count().select("length", "bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))
+    within = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "start", "ids_crc32")
+    ranked = rest.withColumn("n", F.row_number().over(within) - 1).join(starts, ["length", "bucket"])  # dealt as the window is
     ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("n") + F.col("base")).alias("rank"))
-    return ws.result(ranked.mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"))
+    alone = pieces.filter(full).select("doc_id", "piece", "start", "length", "ids_crc32", (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    placed = ranked.mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return ws.result(placed.unionAll(alone))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

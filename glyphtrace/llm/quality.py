@@ -9,8 +9,10 @@ The soft labels of a bounded sample train a hashed linear scorer by distributed
 Bounds (documented parameters): `labelled_docs` rows for the lexicon, `train_docs` documents for the scorer. Votes,
 patterns and scores cover all documents. Without a table of labels the two labellers that need it abstain.
 
-A document without words is junk (score 1): there is nothing to keep. Null text counts as empty; repeated rows get the
-same score; an empty table gives no rows.
+A document without words is junk (score 1): there is nothing to keep. Null text counts as empty; rows that repeat a
+doc_id, or lack one, are judged each by its text; a score that ties with the threshold rejects; texts of any length are
+judged whole; labels without an id or a value are left out, and an id labelled twice is toxic if one of them says so; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -227,7 +229,7 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, *, labelled_docs: int
         known = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
         share = min(1.0, labelled_docs / max(known.count(), 1))
         known = known.filter(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 20)) < int(share * (1 << 20)))
-        labelled = ws.keep(docs.join(known, "doc_id").select("text", "toxic").coalesce(3))
+        labelled = ws.keep(docs.join(F.broadcast(known), "doc_id").select("text", "toxic")).coalesce(3)  # about labelled_docs rows on either side
     lexicon = spark.sparkContext.broadcast(learn_lexicon(labelled))
     share = min(1.0, train_docs / max(n, 1))
     picked = F.pmod(F.xxhash64("doc_id", F.lit(4)), F.lit(1 << 20)) < int(share * (1 << 20))
@@ -252,7 +254,7 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, *, labelled_docs: int
             labels = np.array([soft[int(c)] for c in code]).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([ragged(f[order].astype(np.int32), size), ragged(v[order].astype(np.float32), size), pa.array(labels[:, 0]), pa.array(labels[:, 1])], names=["feature", "value", "junk", "toxic"])
 
-    features = ws.keep(docs.filter(picked).mapInArrow(sample, "feature array<int>, value array<float>, junk double, toxic double").coalesce(3))  # a bounded sample
+    features = ws.keep(docs.filter(picked).mapInArrow(sample, "feature array<int>, value array<float>, junk double, toxic double")).coalesce(3)  # a bounded sample, written by all tasks and read again by few
     weights = _train(features)
     ws.drop(*range(len(ws.paths)))
     return spark.sparkContext.broadcast(weights)

@@ -265,6 +265,22 @@ def test_packing(docs, rows, none):
     assert packing.pack(none).count() == 0
 
 
+def test_packing_of_rows_without_ids_and_of_one_length(spark):
+    """Repeated rows, rows without an id and pieces of one length or of a whole sequence are all placed, gapless and once."""
+    rows = [(None, "a b c")] * 30 + [(1, "a b c")] * 30 + [(None, None), (2, "word " * 3000), (2, "word " * 3000), (3, "x " * 1023)]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), capacity=64).collect()
+    one = packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), capacity=64).collect()
+    piece = lambda r: tuple(r)[:5]
+    assert sorted(map(piece, got), key=str) == sorted(map(piece, one), key=str) and len({r["sequence_id"] for r in got}) == len({r["sequence_id"] for r in one})
+    at = defaultdict(list)
+    for r in got:
+        at[r["sequence_id"]].append((r["offset"], r["length"]))
+    for s in at.values():
+        s.sort()
+        assert sum(n for _, n in s) <= 64 and [x for x, _ in s] == [sum(n for _, n in s[:k]) for k in range(len(s))]
+    assert sum(r["doc_id"] is None for r in got) == 31
+
+
 @pytest.mark.parametrize("score", ["norm", "dot"])
 def test_packing_capacities(score):
     r = random.Random(2)
@@ -370,6 +386,28 @@ def test_quality(spark):
     assert quality.classify(df.filter("doc_id < 0"), labels).count() == 0
 
 
+def test_quality_of_odd_rows(spark):
+    """Repeated rows, rows without ids and very long texts are judged each by its text, also where labels repeat or lack."""
+    prose = ". ".join("one of many words that were said today by some" for _ in range(6))
+    rows = [(1, prose), (1, prose), (None, prose), (2, "long text of words. " * 60_000), (3, "%%& $$# " * 90_000), (3, prose)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"toxic": F.lit("x"), "picked": F.lit(1), "keep": F.lit(2)})
+    labels = spark.createDataFrame([(1, 0), (1, 0), (None, 1), (2, None)], "doc_id long, toxic int")
+    got = [(r["doc_id"], r["junk"]) for r in quality.classify(df, labels).collect()]
+    assert sorted(map(str, (k for k, _ in got))) == sorted(str(k) for k, _ in rows)
+    assert len({x for k, x in got if k == 1 or k is None}) == 1 and len({x for k, x in got if k == 3}) == 2
+    kept = quality.keep_documents(df, labels).collect()
+    assert sum(r["text"] == prose for r in kept) in (0, 4)
+
+
+def test_quality_of_held_out_labels(spark):
+    """Toxic documents whose labels the classifier has not seen are found, clean ones of good quality stay."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{name}.parquet") for name in ("documents", "labels"))
+    got = quality.classify(docs, labels.filter("doc_id % 2 = 0")).select("doc_id", "keep").join(labels, "doc_id").filter("doc_id % 2 = 1").collect()
+    toxic, clean = [r["keep"] for r in got if r["toxic"]], [r["keep"] for r in got if not r["toxic"] and r["quality"]]
+    assert len(toxic) >= 10 and len(clean) >= 50
+    assert sum(toxic) <= 0.1 * len(toxic) and sum(clean) >= 0.97 * len(clean)
+
+
 def test_em_finds_accuracies():
     g = np.random.Generator(np.random.PCG64(1))
     truth = g.random(20000) < 0.2
