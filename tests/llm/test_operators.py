@@ -428,7 +428,6 @@ def test_licences(spark):
 def test_language_model(docs, rows, none):
     held = lambda k: zlib.crc32(str(k).encode()) % 7 == 2
     train = docs.filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 != 2)
-    worse = False
     for hot in (1 << 19, 20):  # all words in the table, or most of them joined
         got = {r["doc_id"]: r for r in language_model.score(docs, train, hot_words=hot).collect()}
         tokens = {k: words(re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) + [None] for k, t, *_ in rows}
@@ -438,10 +437,21 @@ def test_language_model(docs, rows, none):
             assert (got[k]["n_tokens"], got[k]["n_known"], got[k]["train_tokens"]) == (len(ws), sum(count[w] > 0 for w in ws), n)
             assert got[k]["base_score"] == pytest.approx(sum(math.log10((count[w] + 1) / (n + v + 1)) for w in ws), abs=1e-6)
             assert got[k]["score"] < 0
-        worse |= sum(got[k]["score"] for k in tokens if held(k)) <= sum(got[k]["base_score"] for k in tokens if held(k))
+            assert got[k]["score"] >= got[k]["base_score"] - math.log10(2) - 1e-9
+        assert sum(got[k]["score"] for k in tokens if held(k)) > sum(got[k]["base_score"] for k in tokens if held(k))
     assert language_model.score(none, none).count() == 0
-    if worse:
-        pytest.xfail("open: on this tiny corpus of independent words the model scores held-out texts below the base (-15462 against -15009)")
+
+
+def test_language_model_on_prose(spark):
+    """On held-out documents the model beats its base by far, and long or repeated texts and rows without ids are scored whole."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    odd = spark.createDataFrame([(None, "a b"), (None, "a b"), (10**6, "the word " * 50_000), (10**6, "the word " * 50_000)], docs.schema)
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
+    got = language_model.score(docs.unionAll(odd), docs.filter(~held)).withColumn("held", F.coalesce(held, F.lit(False))).collect()
+    base, model = (sum(r[c] for r in got if r["held"]) for c in ("base_score", "score"))
+    assert model > 0.95 * base
+    same = [(r["n_tokens"], r["score"]) for r in got if r["doc_id"] is None or r["doc_id"] == 10**6]
+    assert sorted(n for n, _ in same) == [3, 3, 100_001, 100_001] and len({x for _, x in same}) == 2
 
 
 def test_language_model_clusters_all_training_texts(spark, monkeypatch):
