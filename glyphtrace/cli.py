@@ -9,14 +9,15 @@ import sys
 from dataclasses import fields
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from glyphtrace.functions.severity import exit_code
 from glyphtrace.limits import ScanLimits
 from glyphtrace.operators.provenance import ToolValidator
-from glyphtrace.operators.sanitize import decode_assets, sanitize_assets, write_file
-from glyphtrace.plans.scan import Hooks, scan
-from glyphtrace.report import render_html, results, write_folder_reports, write_json
-from glyphtrace.sources.assets import list_files, parse_suffixes, read_files
+from glyphtrace.operators.sanitize import copy_sidecar, decode_assets, sanitize_assets, write_file
+from glyphtrace.plans.scan import Hooks, examined, families, release, scan
+from glyphtrace.report import FAMILIES, results, write_folder_reports, write_html, write_json, write_results
+from glyphtrace.sources.assets import list_files, parse_suffixes, read_files, with_text
 from glyphtrace.sources.remote import load_manifest
 
 
@@ -31,6 +32,9 @@ def parser() -> argparse.ArgumentParser:
     detect.add_argument("--json")
     detect.add_argument("--html")
     detect.add_argument("--html-per-folder")
+    detect.add_argument("--results", help="folder for JSON lines, written in parallel")
+    detect.add_argument("-v", "--verbose", action="store_true", help="sums by family, and why a file is flagged")
+    detect.add_argument("-d", "--details", action="store_true", help="every finding of a file")
     decode = sub.add_parser("decode", help="read payloads of text channels")
     sanitize = sub.add_parser("sanitize", help="write a copy without hidden characters")
     watermark = sub.add_parser("watermark", help="findings and provenance of one file")
@@ -39,7 +43,8 @@ def parser() -> argparse.ArgumentParser:
     sanitize.add_argument("-o", "--output")
     sanitize.add_argument("--in-place", action="store_true")
     sanitize.add_argument("--confirm", action="store_true")
-    watermark.add_argument("--c2pa-tool", nargs="?", const="c2patool")
+    for s in (watermark, sanitize):
+        s.add_argument("--c2pa-tool", nargs="?", const="c2patool")
     watermark.add_argument("--allow-remote-manifests", action="store_true")
     watermark.add_argument("--json")
     watermark.add_argument("--html")
@@ -63,6 +68,42 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         return 2
 
 
+_COLOURS = {"critical": 31, "high": 31, "medium": 33, "low": 36, "clean": 32}  # ANSI
+
+
+def coloured(text: str, severity: str) -> str:
+    """The text in the colour of a severity, on terminals only."""
+    return f"\x1b[{_COLOURS[severity.lower()]}m{text}\x1b[0m" if sys.stdout.isatty() else text
+
+
+def _print(tables: dict, verbose: bool, details: bool) -> None:
+    """A line per file in order of paths; verbose: what was counted in it, and sums by family; details: its findings."""
+    verdicts = tables["verdicts"]
+    if details:
+        found = tables["findings"].groupBy(F.col("root_id").alias("asset_id")).agg(F.array_sort(F.collect_list(F.struct("depth", "place", "risk", "category", "description", "location"))).alias("found"))
+        verdicts = verdicts.join(found, "asset_id", "left")
+    for r in verdicts.orderBy("path").toLocalIterator():
+        print(coloured(f"{r['severity']:>8}", r["severity"]) + f"  {r['path']}" + ("  incomplete" if r["incomplete"] else ""))
+        if verbose and (r["flagged"] or r["incomplete"]):
+            said = [f"{r['hidden']} hidden characters" * (r["hidden"] > 0), f"{r['trailing']} lines with trailing blanks" * (r["trailing"] > 0), "mixed line endings" * bool(r["mixed"]), f"{r['lsb_channels']} doubtful channels" * (r["lsb_channels"] > 0), f"provenance {r['provenance']}" * bool(r["attention"]), *([r["error"]] if r["error"] else []), *r["nested_errors"]]
+            print("          " + "; ".join(x for x in said if x))
+        for f in (r["found"] or []) if details else []:
+            print("          " + coloured(f["risk"], "low" if f["risk"] == "informational" else f["risk"]) + f"  {f['category']}  {f['description']}" + f"  {f['location']}" * bool(f["location"]))
+    if verbose:
+        for r in families(tables).collect():  # a dozen rows
+            print(f"{r['value']:>8}  {r['counter'].replace('_', ' ')}: {FAMILIES.get(r['counter'], 'all families')}")
+
+
+def _sidecar(spark: SparkSession, a: argparse.Namespace, limits: ScanLimits) -> str | None:
+    """The local sidecar that makes the input's provenance valid, if one does."""
+    beside = [p for p in (a.input + ".c2pa.json", os.path.splitext(a.input)[0] + ".c2pa.json", a.input + ".c2pa") if os.path.isfile(p)]
+    if not beside or not a.c2pa_tool:
+        return None
+    assets = with_text(read_files(spark, [a.input, *beside[:1]], limits))
+    said = json.loads(examined(assets, Hooks(provenance_validator=ToolValidator(a.c2pa_tool)), limits).filter(F.col("asset_id") == a.input).first()["provenance"])
+    return said["manifest_location"] if said["status"] == "VALID" and said["manifest_location"] == beside[0] else None
+
+
 def _run(a: argparse.Namespace, spark: SparkSession, limits: ScanLimits) -> int:
     if a.command == "detect":
         files, skipped, missing = list_files(a.paths, parse_suffixes(a.ext), a.recursive, a.no_venv)
@@ -72,13 +113,15 @@ def _run(a: argparse.Namespace, spark: SparkSession, limits: ScanLimits) -> int:
         if a.json:
             write_json(tables, a.json)
         if a.html:
-            write_file(a.html, render_html(write_json(tables, a.html + ".json")).encode(), replace=True)
+            write_html(tables, a.html)
         if a.html_per_folder:
             write_folder_reports(tables, a.paths[0], a.html_per_folder)
-        for r in tables["verdicts"].orderBy("path").collect():
-            print(f"{r['severity']:>8}  {r['path']}" + ("  incomplete" if r["incomplete"] else ""))
+        if a.results:
+            write_results(tables, a.results)
+        _print(tables, a.verbose, a.details)
         counters = tables["summary"].first()
         print(f"{counters['total']} files, {counters['flagged']} flagged, {counters['incomplete']} incomplete, {skipped} skipped")
+        release(tables)
         return exit_code(counters)
     assets = read_files(spark, [a.input], limits).persist()
     error = assets.first()["read_error"]
@@ -89,9 +132,11 @@ def _run(a: argparse.Namespace, spark: SparkSession, limits: ScanLimits) -> int:
         return 0
     if a.command == "sanitize":
         r = sanitize_assets(assets).first().asDict(True)
-
-
-        write_file(a.input if a.in_place else a.output or r["sanitized_path"], bytes(r.pop("clean")), a.in_place, os.stat(a.input).st_mode & 0o7777)
+        to = a.input if a.in_place else a.output or r["sanitized_path"]
+        side = None if a.in_place or r["changed"] else _sidecar(spark, a, limits)
+        copy_sidecar(side, to, dry=True)
+        write_file(to, bytes(r.pop("clean")), a.in_place, os.stat(a.input).st_mode & 0o7777)
+        r["sidecar"] = copy_sidecar(side, to)
         print(json.dumps(r, ensure_ascii=False, indent=2))
         return 0
     hooks = Hooks(provenance_validator=ToolValidator(a.c2pa_tool) if a.c2pa_tool else None, remote_manifest_loader=load_manifest if a.allow_remote_manifests else None)
@@ -99,7 +144,7 @@ def _run(a: argparse.Namespace, spark: SparkSession, limits: ScanLimits) -> int:
     if a.json:
         write_json(tables, a.json)
     if a.html:
-        write_file(a.html, render_html(write_json(tables, a.html + ".json")).encode(), replace=True)
+        write_html(tables, a.html)
     r = json.loads(results(tables).first()["result"])
     print(json.dumps(r, ensure_ascii=False, indent=2))
     return 2 if r["incomplete"] else 0

@@ -83,14 +83,34 @@ def write_file(path: str, data: bytes, replace: bool = False, mode: int | None =
         os.chmod(target, mode)
 
 
+def copy_sidecar(sidecar: str | None, to: str, dry: bool = False) -> str | None:
+    """Copies a sidecar beside an unchanged copy, under the copy's name; FileExistsError if there is one. dry: only tests that."""
+    if sidecar is None:
+        return None
+    target = to + (".c2pa.json" if sidecar.endswith(".c2pa.json") else ".c2pa")
+    if os.path.lexists(target):
+        raise FileExistsError(f"there is a sidecar already: {target}")
+    if not dry:
+        write_file(target, Path(sidecar).read_bytes(), mode=os.stat(sidecar).st_mode & 0o7777)
+    return target
+
+
 def write_sanitized(sanitized: DataFrame, in_place: bool = False, confirm: bool = False) -> None:
-    """Writes the copies from the tasks. Replacing the originals needs both in_place and confirm."""
+    """Writes the copies from the tasks. Replacing the originals needs both in_place and confirm.
+
+    A column `sidecar`, where there is one, names the valid local sidecar of an asset; it is copied beside an unchanged copy.
+    """
     if in_place != confirm:
         raise ValueError("replacing files needs both in_place and confirm")
 
     def run(rows):
         for r in rows:
             mode = os.stat(r["path"]).st_mode & 0o7777
-            write_file(r["path"] if in_place else r["sanitized_path"], bytes(r["clean"]), in_place, mode)
-
-    sanitized.select("path", "sanitized_path", "clean").foreachPartition(run)
+            to = r["path"] if in_place else r["sanitized_path"]
+            side = None if in_place else r["side"]
+            copy_sidecar(side, to, dry=True)
+            write_file(to, bytes(r["clean"]), in_place, mode)
+            copy_sidecar(side, to)
+
+    side = F.when(~F.col("changed"), F.col("sidecar")) if "sidecar" in sanitized.columns else F.lit(None).cast("string")
+    sanitized.select("path", "sanitized_path", "clean", side.alias("side")).foreachPartition(run)

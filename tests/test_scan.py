@@ -3,13 +3,14 @@ import struct
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from test_media import RGB, bmp, chunk, packed, png, tone
 
 from glyphtrace import cli, dims
 from glyphtrace.functions import severity
 from glyphtrace.operators.sanitize import decode_assets, provenance_impact, sanitize_assets, write_file, write_sanitized
-from glyphtrace.plans.scan import Hooks, scan, verify_text
-from glyphtrace.report import render_html, report_name, write_folder_reports, write_json
+from glyphtrace.plans.scan import Hooks, families, scan, verify_text
+from glyphtrace.report import render_html, report_name, write_folder_reports, write_html, write_json, write_results
 from glyphtrace.sources import remote
 from glyphtrace.sources.assets import from_column, list_files, parse_suffixes, read_files
 
@@ -143,8 +144,13 @@ def test_corpus_metrics(spark, tables):
 
 
 def test_reports(spark, tables, folder, tmp_path):
-    payload = write_json(tables, str(tmp_path / "r.json"))
-    assert json.loads((tmp_path / "r.json").read_text())["total_files"] == payload["total_files"] == len(payload["results"])
+    said = write_json(tables, str(tmp_path / "r.json"))
+    payload = json.loads((tmp_path / "r.json").read_text())
+    assert payload["total_files"] == said["total_files"] == len(payload["results"]) and [r["path"] for r in payload["results"]] == sorted(r["path"] for r in payload["results"])
+    write_results(tables, str(tmp_path / "lines"))
+    assert sorted(json.loads(r[0])["path"] for r in spark.read.text(str(tmp_path / "lines")).collect()) == [r["path"] for r in payload["results"]]
+    write_html(tables, str(tmp_path / "r.html"))
+    assert (tmp_path / "r.html").read_text().count("<section") == said["total_files"]
     payload["results"][0]["path"] = "<script>"
     assert "<script>" not in render_html(payload).split("<section")[1]
     write_folder_reports(tables, str(folder), str(tmp_path / "by"))
@@ -152,6 +158,61 @@ def test_reports(spark, tables, folder, tmp_path):
     assert report_name("org/re po:x") == "org_re_po_x.html" and report_name("") == "report.html"
 
 
+def test_families(tables):
+    got = {r["counter"]: r["value"] for r in families(tables).collect()}
+    chars, verdicts = tables["characters"].collect(), tables["verdicts"].collect()
+    assert got["zero_width"] == sum(r["kind"] == "zero_width" for r in chars) > 0 and got["binary_hits"] == tables["hits"].count() > 0
+    assert got["hidden"] == sum(r["hidden"] for r in verdicts) and got["mixed_line_endings"] == sum(r["mixed"] for r in verdicts)
+    records = [json.loads(r["provenance"]) for r in tables["provenance"].collect()]
+    assert got["provenance_failures"] == sum(r["status"] in ("TAMPERED", "UNTRUSTED_SIGNER") or bool(r["validation_errors"]) for r in records)
+
+
+def test_provenance_panel():
+    record = {"status": "VALID", "provider": "<p>", "timestamps": ["2024"], "actions": [{"action": "c2pa.created", "when": "2023"}], "ingredients": [{"title": "a&b"}], "validation_errors": ["e"]}
+    row = {"severity": "low", "path": "p", "hidden": 0, "trailing": 0, "provenance": "VALID", "provenance_record": json.dumps(record)}
+    made = render_html({"total_files": 1, "flagged_files": 0, "incomplete_files": 0, "clean_files": 1, "results": [row], "families": {"lsb": 2}})
+    assert "&lt;p&gt;" in made and "<li>2024</li><li>2023 c2pa.created</li><li>ingredient a&amp;b</li>" in made and "lowest bits" in made
+    assert "Provenance" not in render_html({"total_files": 1, "flagged_files": 0, "incomplete_files": 0, "clean_files": 1, "results": [row | {"provenance_record": None}]})
+
+
+def test_plain_text_needs_no_python_and_content_no_shuffle(spark):
+    tables = scan(from_column(spark.createDataFrame([(1, "a\u200bb"), (2, "c")], "id long, t string"), "id", "t"), persist=False)
+    plan = tables["provenance"]._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and sorted(r["asset_id"] for r in tables["provenance"].collect()) == ["1", "2"]
+    for line in tables["verdicts"]._jdf.queryExecution().executedPlan().toString().splitlines():
+        assert "Exchange" not in line or "content" not in line
+
+
+def test_sidecars_and_remote_manifests(spark, tmp_path):
+    picture = png(RGB, 2)
+    for name in ("a.png", "b.png"):
+        (tmp_path / name).write_bytes(picture)
+    (tmp_path / "a.c2pa.json").write_text('{"provider": "p"}')
+    (tmp_path / "c.png").write_bytes(picture[:8] + chunk(b"caBX", b'{"remote_url": "https://m.example/1"}') + picture[8:])
+    assets = read_files(spark, sorted(map(str, tmp_path.iterdir())))
+    asked = []
+
+    def load(url):  # runs where it is given, on the driver
+        asked.append(url)
+        return {"provider": "far"}
+
+    got = {r["asset_id"].rsplit("/")[-1]: json.loads(r["provenance"]) for r in scan(assets, hooks=Hooks(remote_manifest_loader=load))["provenance"].collect()}
+    assert got["a.png"]["provider"] == "p" and got["a.png"]["manifest_location"].endswith("a.c2pa.json") and got["b.png"]["status"] == "MISSING"
+    assert got["c.png"]["provider"] == "far" and asked == ["https://m.example/1"]
+
+
+def test_sidecar_copies(spark, tmp_path):
+    (tmp_path / "a.svg").write_bytes(b"<svg/>")
+    (tmp_path / "a.c2pa.json").write_bytes(b"{}")
+    same = sanitize_assets(read_files(spark, [str(tmp_path / "a.svg")])).withColumn("sidecar", F.lit(str(tmp_path / "a.c2pa.json")))
+    write_sanitized(same)
+    assert (tmp_path / "a.sanitized.svg").read_bytes() == b"<svg/>" and (tmp_path / "a.sanitized.svg.c2pa.json").read_bytes() == b"{}"
+    (tmp_path / "a.sanitized.svg").unlink()
+    with pytest.raises(Exception, match="sidecar already"):
+        write_sanitized(same)
+    assert not (tmp_path / "a.sanitized.svg").exists()
+
+
 def test_decode_and_sanitize(spark, folder, tmp_path):
     (tmp_path / "a.txt").write_bytes(f"he{ZW}llo  \r\nx".encode())
     (tmp_path / "l.txt").write_bytes(b"caf\xe9\xad ")
@@ -188,6 +249,10 @@ def test_cli(spark, folder, tmp_path, capsys):
     assert cli.main(["detect", str(folder / "plain.txt")], spark) == 0
     assert cli.main(["detect", str(folder / "zero.txt"), "--json", str(tmp_path / "j.json")], spark) == 1
     assert cli.main(["detect", "/no/such"], spark) == 2
+    capsys.readouterr()
+    assert cli.main(["detect", str(folder / "zero.txt"), "-v", "-d", "--results", str(tmp_path / "lines")], spark) == 1
+    said = capsys.readouterr().out
+    assert "hidden characters" in said and "zero width" in said and "\x1b" not in said
     assert cli.main(["decode", str(folder / "zero.txt")], spark) == 0
     assert cli.main(["sanitize", str(folder / "zero.txt"), "-o", str(tmp_path / "z.txt")], spark) == 0
     assert (tmp_path / "z.txt").read_bytes() == b"visiblehidden\n"
