@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from glyphtrace.llm.common import Workspace, components, table
 from glyphtrace.llm.vectors import by_dimension, sound, usable
 
-#: Rows of one block of a list.
-BLOCK = 384
+#: Rows of one block of a list, and blocks from which on a list is split.
+BLOCK, SPLIT = 384, 4
 #: Pivots are broadcast: 8 MB at 64 dimensions.
 MOST_PIVOTS = 1 << 14
 
@@ -68,7 +68,7 @@ def link_vectors(df: DataFrame, *, id_col: str = "vec_id", vector_col: str = "em
     # long lists are split by a second pivot; a pair meets under the two smallest that it shares
     splits = shared > 1
     listed = spread.join(F.broadcast(sizes), ["dim", "pivot"])  # a row for each pivot
-    long = (F.col("size") > block) & (F.size("near") > 1) & F.lit(splits)
+    long = (F.col("size") > SPLIT * block) & (F.size("near") > 1) & F.lit(splits)
     seconds = F.filter("near", lambda x: x > F.col("pivot"))
     listed = listed.select("dim", "pivot", F.explode(F.when(long, seconds).otherwise(F.array(F.lit(-1)))).alias("second"), "id")
     per = listed.groupBy("dim", "pivot", "second").agg(F.count("*").alias("size")).filter("size > 1").withColumn("blocks", F.ceil(F.col("size") / block).cast("int"))
