@@ -3,11 +3,14 @@
 A text is cut into sentences, each is normalised (lower case, letters and digits only, single spaces), and sentences
 that are known from licences become identifiers. A known sentence is also found where line breaks and comment signs
 stand between its words, and the sentences of full notices stand for all that begin with them; short references must
-match whole, as what follows ("or later") can change the licence. n_sentences counts the plain cut. The sequence of a text's identifiers is then read by ordered rules: a rule names the licence whose identifiers stand in a row, the
-rules of most identifiers first, and what a rule has read is not read again.
-
-A null or empty text has no sentences; repeated rows are read each; a text of licence words that no rule knows is told
-apart as "unknown".
+match whole, as what follows ("or later") can change the licence. n_sentences counts the plain cut. The sequence of a
+text's identifiers is then read by ordered rules: a rule names the licence whose identifiers stand in a row, the
+rules of most identifiers first, and what a rule has read is not read again. A full licence text is known by its title
+and date.
+
+A null or empty text has no sentences; rows that repeat a doc_id, or lack one, are read each; texts are read whole,
+whatever their length; an empty table gives no rows; a text of licence words that no rule knows is told apart as
+"unknown".
 """
 
 from __future__ import annotations
@@ -33,6 +36,20 @@ SENTENCES: dict[str, list[str]] = {
     "GPL2-REF": ["this work is licensed under the gnu general public license version 2", "licensed under the gnu general public license version 2", "released under the gnu general public license version 2"],
     "GPL3-LATER": ["this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version"],
     "GPL2-LATER": ["this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version"],
+    "LGPL21-LATER": ["this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version"],
+    "LGPL3-LATER": [f"this {what} is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version" for what in ("program", "library")],
+    "AGPL3-LATER": ["this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version"],
+    "APACHE2-TITLE": ["version 2 0 january 2004", "version 2 0 january 2004 http www apache org licenses", "version 2 0 january 2004 https www apache org licenses"],
+    "GPL-TITLE": ["gnu general public license"],
+    "LGPL-TITLE": ["gnu lesser general public license"],
+    "AGPL-TITLE": ["gnu affero general public license"],
+    "GPL2-DATE": ["version 2 june 1991"],
+    "LGPL21-DATE": ["version 2 1 february 1999"],
+    "GPL3-DATE": ["version 3 29 june 2007"],
+    "AGPL3-DATE": ["version 3 19 november 2007"],
+    "ISC-GRANT": ["permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"],
+    "UNLICENSE": ["this is free and unencumbered software released into the public domain"],
+    "EPL2-REF": ["this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at https www eclipse org legal epl 2 0", "licensed under the eclipse public license 2 0"],
     "GPL-HOPE": ["this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose"],
     "GPL-SEE": ["see the gnu general public license for more details"],
     "BSD-GRANT": ["redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"],
@@ -58,8 +75,20 @@ RULES: list[tuple[list[str], str]] = [
     (["GPL2-LATER", "GPL-HOPE", "GPL-SEE"], "GPL-2.0-or-later"),
     (["MIT-GRANT", "MIT-NOTICE", "MIT-ASIS"], "MIT"),
     (["MIT-GRANT", "MIT-NOTICE"], "MIT"),
+    (["GPL-TITLE", "GPL3-DATE"], "GPL-3.0-only"),
+    (["GPL-TITLE", "GPL2-DATE"], "GPL-2.0-only"),
+    (["LGPL-TITLE", "GPL3-DATE"], "LGPL-3.0-only"),
+    (["LGPL-TITLE", "LGPL21-DATE"], "LGPL-2.1-only"),
+    (["AGPL-TITLE", "AGPL3-DATE"], "AGPL-3.0-only"),
     (["GPL3-LATER"], "GPL-3.0-or-later"),
     (["GPL2-LATER"], "GPL-2.0-or-later"),
+    (["LGPL21-LATER"], "LGPL-2.1-or-later"),
+    (["LGPL3-LATER"], "LGPL-3.0-or-later"),
+    (["AGPL3-LATER"], "AGPL-3.0-or-later"),
+    (["APACHE2-TITLE"], "Apache-2.0"),
+    (["ISC-GRANT"], "ISC"),
+    (["UNLICENSE"], "Unlicense"),
+    (["EPL2-REF"], "EPL-2.0"),
     (["GPL3-REF"], "GPL-3.0-only"),
     (["GPL2-REF"], "GPL-2.0-only"),
     (["APACHE2-REF"], "Apache-2.0"),
@@ -81,7 +110,9 @@ _CUT = rf"[.!?]+{_SPACE}+|{_SPACE}*\n{_SPACE}*"
 #: What stands between words of one sentence: anything but letters, digits and the end of a sentence.
 _BETWEEN = rf"(?![A-Za-z0-9])[^A-Za-z0-9.!?]*+(?:[.!?]++(?!{_SPACE})[^A-Za-z0-9.!?]*+)*+"
 #: Sentences of full notices, whose end may vary.
-_OPEN = ("APACHE2-COMPLY", "APACHE2-ASIS", "APACHE2-SEE", "MIT-GRANT", "MIT-NOTICE", "MIT-ASIS", "GPL3-LATER", "GPL2-LATER", "GPL-HOPE", "GPL-SEE", "BSD-GRANT", "BSD-SOURCE", "BSD-BINARY", "BSD-ENDORSE")
+_OPEN = ("APACHE2-COMPLY", "APACHE2-ASIS", "APACHE2-SEE", "MIT-GRANT", "MIT-NOTICE", "MIT-ASIS", "GPL3-LATER", "GPL2-LATER", "LGPL21-LATER", "LGPL3-LATER", "AGPL3-LATER", "ISC-GRANT", "GPL-HOPE", "GPL-SEE", "BSD-GRANT", "BSD-SOURCE", "BSD-BINARY", "BSD-ENDORSE")
+#: Titles and dates that stand on a line of their own.
+_LINES = ("APACHE2-TITLE", "GPL-TITLE", "LGPL-TITLE", "AGPL-TITLE", "GPL2-DATE", "LGPL21-DATE", "GPL3-DATE", "AGPL3-DATE")
 #: Every known sentence has one of these; texts without are not searched.
 _STEMS = ("licens", "permission", "redistribution", "warrant", "released", "rights")
 _KEYWORDS = ("licens", "licenc", "copyright", "rights reserved")
@@ -102,7 +133,7 @@ def sentences(text: Column) -> Column:
 def rejoined(text: Column) -> Column:
     """The text with its known sentences on one line each, whatever line breaks and comment signs stood between their words."""
     out = text
-    for sentence in sorted(_known(), key=lambda x: (-len(x), x)):
+    for sentence in sorted((x for x, name in _known().items() if name not in _LINES), key=lambda x: (-len(x), x)):
         words = sentence.split(" ")
         # the outer words stay as they are, so that nothing around the sentence is joined or cut anew
         end = "" if _known()[sentence] in _OPEN else r"(?![^A-Za-z0-9\n.!?]*[A-Za-z0-9])"

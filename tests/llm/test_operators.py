@@ -522,7 +522,45 @@ modification, are permitted provided that the following conditions are met:
    and/or other materials provided with the distribution.
 """,
 }
+_NOTICES |= {
+    "LGPL-2.1-or-later": """This library is free software; you can redistribute it and/or
+modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation; either
+version 2.1 of the License, or (at your option) any later version.
+""",
+    "LGPL-3.0-or-later": """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU Lesser General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+""",
+    "AGPL-3.0-or-later": """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU Affero General Public License as
+published by the Free Software Foundation, either version 3 of the
+License, or (at your option) any later version.
+""",
+    "ISC": """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+""",
+    "Unlicense": """This is free and unencumbered software released into the public domain.
+""",
+    "EPL-2.0": """This program and the accompanying materials are made available under the
+terms of the Eclipse Public License 2.0 which is available at
+https://www.eclipse.org/legal/epl-2.0.
+""",
+    "MPL-2.0": """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/.
+""",
+}
 _IDS = {
+    "LGPL-2.1-or-later": "LGPL21-LATER",
+    "LGPL-3.0-or-later": "LGPL3-LATER",
+    "AGPL-3.0-or-later": "AGPL3-LATER",
+    "ISC": "ISC-GRANT",
+    "Unlicense": "UNLICENSE",
+    "EPL-2.0": "EPL2-REF",
+    "MPL-2.0": "MPL2-REF",
     "GPL-3.0-or-later": "GPL3-LATER>GPL-HOPE>GPL-SEE",
     "Apache-2.0": "APACHE2-GRANT>APACHE2-COMPLY>APACHE2-COPY>APACHE2-ASIS>APACHE2-SEE",
     "MIT": "MIT-GRANT>MIT-NOTICE>MIT-ASIS",
@@ -539,6 +577,29 @@ def test_licences_of_canonical_notices(spark, sign):
     assert got == {name: (ids[name], name, "recognised") for name in notices}
 
 
+def test_licences_of_full_texts(spark):
+    """Full texts are known by title and date, centred as they are printed."""
+    titles = {
+        "Apache-2.0": "                                 Apache License\n                           Version 2.0, January 2004\n                        http://www.apache.org/licenses/\n",
+        "GPL-3.0-only": "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n",
+        "GPL-2.0-only": "                    GNU GENERAL PUBLIC LICENSE\n                       Version 2, June 1991\n",
+        "LGPL-3.0-only": "                   GNU LESSER GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n",
+        "LGPL-2.1-only": "                  GNU LESSER GENERAL PUBLIC LICENSE\n                       Version 2.1, February 1999\n",
+        "AGPL-3.0-only": "                    GNU AFFERO GENERAL PUBLIC LICENSE\n                       Version 3, 19 November 2007\n",
+    }
+    rows = [(name, title + "\n Everyone is permitted to copy and distribute verbatim copies\n of this license document.\n") for name, title in titles.items()]
+    got = licences.scan_licences(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    assert {r["doc_id"]: r["licences"] for r in got} == {name: name for name in titles}
+
+
+def test_licences_of_odd_rows(spark):
+    """Repeated rows, rows without an id, clashing names, very long texts and an empty table."""
+    rows = [(1, "Released under the MIT License."), (1, "Released under the MIT License."), (None, "x. " * 50_000 + "Released under the MIT License.")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("clash") for c in ("s", "j", "hint", "q0", "licences", "verdict")})
+    assert [(r["licences"], r["n_sentences"]) for r in licences.scan_licences(df).collect()] == [("MIT", 1), ("MIT", 1), ("MIT", 50_001)]
+    assert licences.scan_licences(df.filter("doc_id < 0")).count() == 0
+
+
 def test_licences_of_varied_ends(spark):
     grant, notice = " ".join(_NOTICES["MIT"].split()).split(": ")
     rows = [
