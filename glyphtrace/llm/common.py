@@ -24,9 +24,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; one of our own only where the session names none, as in tests."""
+    """The folder in spark.checkpoint.dir; a local one only where the session names none and runs on one machine, as in tests."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         folder = "file://" + tempfile.mkdtemp(prefix="glyphtrace-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -64,10 +66,17 @@ class Workspace:
 
     def result(self, df: DataFrame) -> DataFrame:
         out = self.keep(df)
-        self.drop(*range(len(self.paths) - 1))
-        atexit.register(_remove, self.spark, self.at)
+        self.leave(out)
         return out
 
+    def leave(self, *kept: DataFrame) -> None:
+        """Removes all tables but these, which go when the session ends."""
+        stay = {k._glyphtrace_path for k in kept if hasattr(k, "_glyphtrace_path")}
+        for path in self.paths:
+            if path not in stay:
+                _remove(self.spark, path)
+        atexit.register(_remove, self.spark, self.at)
+
 
 def _remove(spark: SparkSession, path: str) -> None:
     try:
@@ -90,6 +99,28 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             yield b.slice(i, j - i)
 
 
+def numbered(ws: Workspace, docs: DataFrame, id_col: str) -> DataFrame:
+    """id, and the columns of docs in row_. Ids tell rows apart; where ids repeat or lack, rows are numbered in a written copy, so that the numbers stay."""
+    row = F.struct(*[docs[c] for c in docs.columns]).alias("row_")
+    if docs.agg(F.count("*") == F.count_distinct(id_col)).first()[0]:
+        return docs.select(F.col(id_col).cast("long").alias("id"), row)
+    return ws.keep(docs.select(F.monotonically_increasing_id().alias("id"), row))
+
+
+def apart(rows: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows whose id is not among `ids` for certain, and the others, few more than those that are: only these need a join."""
+    held = rows.sparkSession.sparkContext.broadcast(id_bitmap(ids.select("id")))  # bounded, see id_bitmap
+
+    def side(which: bool):
+        def run(batches):
+            for b in batches:
+                yield b.filter(pa.array(in_bitmap(held.value, np.asarray(b["id"])) == which))
+
+        return run
+
+    return rows.mapInArrow(side(False), rows.schema), rows.mapInArrow(side(True), rows.schema)
+
+
 def components(ws: Workspace, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, component): the smallest id that each node reaches by edges (a, b), by alternating large and small stars.
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphtrace.llm.common import Workspace, components, dense_sum, id_bitmap, in_bitmap, slices, table
+from glyphtrace.llm.common import Workspace, apart, components, dense_sum, id_bitmap, in_bitmap, numbered, slices, table
 from glyphtrace.llm.kernels import Words, mix, ragged, signed
 
 SKETCH_BITS = 20
@@ -152,17 +152,8 @@ def jaccard_classes(docs: DataFrame, *, id_col: str = "doc_id", shingle: int = 4
     reps = ws.keep(sets.filter("n > 0").groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("id")))
     # documents that repeat an earlier set go; most are told from the others by a bitmap, so that few wide rows are shuffled
     copies = ws.keep(sets.filter("n > 0").select("doc_id", "n", "k1", "k2").join(reps, ["n", "k1", "k2"]).filter("doc_id <> id").select(F.col("doc_id").alias("id")))
-    doubtful = spark.sparkContext.broadcast(id_bitmap(copies))  # fixed size
-
-    def side(which: bool):
-        def run(batches):
-            for b in batches:
-                yield b.filter(pa.array(in_bitmap(doubtful.value, np.asarray(b["id"])) == which))
-
-        return run
-
     wide_rows = sets.filter("n > 0 and doc_id is not null").select(F.col("doc_id").alias("id"), "n", "typical", "parity", "wide", "prefix")
-    sure, asked = (wide_rows.mapInArrow(side(w), wide_rows.schema) for w in (False, True))
+    sure, asked = apart(wide_rows, copies)
     classes = ws.keep(sure.unionAll(asked.join(copies, "id", "left_anti")))
 
     # prefix lists in order of size: a row stays if a neighbour's size is within the similarity, as only then a pair can link;
@@ -286,5 +277,19 @@ def jaccard_classes(docs: DataFrame, *, id_col: str = "doc_id", shingle: int = 4
     return ws.result(out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id")))
 
 
+def without_near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **join) -> DataFrame:
+    """The rows of docs, all columns, of which each group of linked documents keeps the one with the smallest id.
+
+    Where ids repeat or lack, every row is a document of its own, by its order in docs. Only rows that go are shuffled.
+    """
+    ws = Workspace(docs.sparkSession)
+    rows = numbered(ws, docs, id_col)
+    classes = jaccard_classes(rows.select("id", F.col(f"row_.`{text_col}`").alias("text")), id_col="id", **join)
+    gone = ws.keep(classes.filter("doc_id <> component_id").select(F.col("doc_id").alias("id")))
+    as_is, asked = apart(rows, gone)
+    ws.leave(rows, gone)
+    return as_is.unionAll(asked.join(gone, "id", "left_anti").select(*rows.columns)).select("row_.*")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(table(spark, sf_dir, "documents"))

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphtrace.llm.common import Workspace, id_bitmap, in_bitmap, slices, table
+from glyphtrace.llm.common import Workspace, apart, id_bitmap, in_bitmap, numbered, slices, table
 from glyphtrace.llm.kernels import _BYTE, _BYTES, _WORDS, Words, mix, ragged, signed, sliding_min, utf8
 
 #: Units of a string: (window, gram, step) where the caller names none.
@@ -205,18 +205,10 @@ def covered(runs: list, window: int) -> list[tuple[int, int]]:
     return out
 
 
-def _numbered(ws: Workspace, docs: DataFrame, id_col: str) -> DataFrame:
-    """id, and the columns of docs in row_. Ids tell rows apart; where ids repeat or lack, rows are numbered in a written copy, so that the numbers stay."""
-    row = F.struct(*[docs[c] for c in docs.columns]).alias("row_")
-    if docs.agg(F.count("*") == F.count_distinct(id_col)).first()[0]:
-        return docs.select(F.col(id_col).cast("long").alias("id"), row)
-    return ws.keep(docs.select(F.monotonically_increasing_id().alias("id"), row))
-
-
-def _runs(ws: Workspace, numbered: DataFrame, *, id_col: str, text_col: str, unit: str, window: int | None = None, gram: int | None = None, step: int | None = None, keep: str) -> tuple[DataFrame, DataFrame]:
+def _runs(ws: Workspace, rows: DataFrame, *, id_col: str, text_col: str, unit: str, window: int | None = None, gram: int | None = None, step: int | None = None, keep: str) -> tuple[DataFrame, DataFrame]:
     """(known as in repeated_starts; id, lost, spans, less, kept of the texts out of which something is cut)."""
     window, gram, step = (x or usual for x, usual in zip((window, gram, step), UNITS[unit], strict=True))
-    docs = numbered.select("id", F.col(f"row_.`{id_col}`").cast("long").alias("doc_id"), F.col(f"row_.`{text_col}`").alias("text"))
+    docs = rows.select("id", F.col(f"row_.`{id_col}`").cast("long").alias("doc_id"), F.col(f"row_.`{text_col}`").alias("text"))
     known, texts = repeated_starts(ws, docs, unit=unit, window=window, gram=gram, step=step, keep=keep)
 
     def cut(batches):
@@ -254,33 +246,26 @@ def remove_repeated(docs: DataFrame, *, id_col: str = "doc_id", unit: str = "byt
     n_units and n_removed count bytes or words, as `unit` says. The bytes between words that stay are left as they are.
     """
     ws = Workspace(docs.sparkSession)
-    numbered = _numbered(ws, docs.select(id_col, "text"), id_col)
-    return ws.result(_told(*_runs(ws, numbered, id_col=id_col, text_col="text", unit=unit, window=window, gram=gram, step=step, keep=keep)).drop("id"))
+    rows = numbered(ws, docs.select(id_col, "text"), id_col)
+    return ws.result(_told(*_runs(ws, rows, id_col=id_col, text_col="text", unit=unit, window=window, gram=gram, step=step, keep=keep)).drop("id"))
 
 
 def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", unit: str = "words", keep: str = "first") -> DataFrame:
     """The rows of docs, all columns, with repeated strings cut out of their texts; rows of which no unit is left go.
 
-    Only rows that change are shuffled by their id. Rows without units, null or empty, stay as they are.
+    Only rows that change are shuffled by their id. Rows without units, null or empty, stay as they are; where ids repeat
+    or lack, rows go by their order in docs.
     """
     ws = Workspace(docs.sparkSession)
-    rows = _numbered(ws, docs, id_col)
+    rows = numbered(ws, docs, id_col)
     known, changed = _runs(ws, rows, id_col=id_col, text_col=text_col, unit=unit, keep=keep)
     lost = ws.keep(changed.join(known.select("id", "n"), "id").select("id", F.when(F.col("lost") < F.col("n"), F.col("kept")).alias("kept")).unionAll(known.filter("all").select("id", F.lit(None).cast("binary"))))
-    touched = docs.sparkSession.sparkContext.broadcast(id_bitmap(lost))  # bounded, see id_bitmap
-
-    def side(which: bool):
-        def run(batches):
-            for b in batches:
-                yield b.filter(pa.array(in_bitmap(touched.value, np.asarray(b["id"])) == which))
-
-        return run
-
-    as_is, asked = (rows.mapInArrow(side(which), rows.schema) for which in (False, True))
+    as_is, asked = apart(rows, lost)
     found = asked.join(lost.withColumn("told", F.lit(True)), "id", "left").filter("told is null or kept is not null")
     text = F.when(F.col("told"), F.make_valid_utf8(F.col("kept").cast("string"))).otherwise(F.col(f"row_.`{text_col}`"))
     found = found.select(*[(text if c == text_col else F.col(f"row_.`{c}`")).alias(c) for c in docs.columns])
-    return ws.result(as_is.select("row_.*").unionAll(found))
+    ws.leave(rows, lost)
+    return as_is.select("row_.*").unionAll(found)
 
 
 def remove_repeated_bytes(docs: DataFrame, *, id_col: str = "doc_id", window: int = 400, gram: int = 64) -> DataFrame:
@@ -294,9 +279,9 @@ def repeated_bytes_and_passages(docs: DataFrame, *, id_col: str = "doc_id") -> D
     400 bytes hold about 65 words, so shorter repeated passages show only there; they are not cut.
     """
     ws = Workspace(docs.sparkSession)
-    numbered = _numbered(ws, docs.select(id_col, "text"), id_col)
-    cut = ws.keep(_told(*_runs(ws, numbered, id_col=id_col, text_col="text", unit="bytes", keep="none")).drop("kept").withColumnRenamed("n_units", "n_bytes"))
-    passages = _told(*_runs(ws, numbered, id_col=id_col, text_col="text", unit="words", keep="none")).select("id", F.col("n_removed").alias("n_passage_words"))
+    rows = numbered(ws, docs.select(id_col, "text"), id_col)
+    cut = ws.keep(_told(*_runs(ws, rows, id_col=id_col, text_col="text", unit="bytes", keep="none")).drop("kept").withColumnRenamed("n_units", "n_bytes"))
+    passages = _told(*_runs(ws, rows, id_col=id_col, text_col="text", unit="words", keep="none")).select("id", F.col("n_removed").alias("n_passage_words"))
     return ws.result(cut.join(passages, "id").drop("id"))
 
 
