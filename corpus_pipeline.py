@@ -1,8 +1,8 @@
 """A corpus pipeline of five stages: quality, near duplicates, repeated text, mixing, packing.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the next
-one's docs. All but the last return the columns of documents. Documents without an id pass the duplicate stage as they
-are; rows that repeat an id count once from there on.
+one's docs. All but the last return the columns of documents. Rows that lack or repeat a doc_id are documents of their
+own in every stage; among equal ones the first in the written docs stays. An empty table stays empty.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from glyphtrace.llm.common import Workspace
 from glyphtrace.llm.mixing import mix
 from glyphtrace.llm.packing import pack
 from glyphtrace.llm.quality import keep_documents
-from glyphtrace.llm.shingle_join import jaccard_classes
+from glyphtrace.llm.shingle_join import without_near_copies
 from glyphtrace.llm.suffix_dedup import without_repeats
 
 
@@ -25,9 +25,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of every group of near duplicates (five words, similarity 0.8), the document with the smallest id stays."""
-    classes = jaccard_classes(docs, shingle=5, percent=80)
-    kept = classes.filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.filter("doc_id is null")).select(*docs.columns)
+    return without_near_copies(docs, shingle=5, percent=80)
 
 
 def repeated_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
