@@ -48,8 +48,9 @@ def trailing_length(line: Column) -> Column:
 
 
 def trailing_lines(t) -> Column:
-    """How many lines end in spaces or tabs."""
-    return F.size(F.filter(lines(t), lambda x: trailing_length(x) > 0)).cast("long")
+    """How many lines end in spaces or tabs; only texts with such an end are cut into lines."""
+    some = _text(t).rlike(rf"[ \t](?:[{dims.BREAKS}]|\z)")
+    return F.when(some, F.size(F.filter(lines(t), lambda x: trailing_length(x) > 0))).otherwise(0).cast("long")
 
 
 def line_endings(t) -> Column:

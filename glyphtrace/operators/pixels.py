@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 import math
 import struct
 import zlib
@@ -42,6 +43,8 @@ def inflate(data: bytes, most: int) -> bytes:
 def _unfiltered(rows: np.ndarray, step: int) -> np.ndarray:
     """Undoes the line filters of PNG; rows hold the filter number first."""
     kinds, lines = rows[:, 0], rows[:, 1:].astype(np.int64)
+    if len(lines) and lines.shape[1] % step == 0 and np.isin(kinds, (3, 4)).any():
+        return _unfiltered_across(kinds, lines.reshape(len(lines), -1, step))
     out = np.zeros_like(lines)
     above = np.zeros(lines.shape[1], np.int64)
     for y, kind in enumerate(kinds.tolist()):
@@ -50,23 +53,27 @@ def _unfiltered(rows: np.ndarray, step: int) -> np.ndarray:
             now = np.cumsum(line.reshape(-1, step), 0).ravel() & 255 if len(line) % step == 0 else line
         elif kind == 2:
             now = (line + above) & 255
-        elif kind in (3, 4):
-            now = line.copy()
-            for x in range(len(now)):
-                left = int(now[x - step]) if x >= step else 0
-                up, corner = int(above[x]), int(above[x - step]) if x >= step else 0
-                if kind == 3:
-                    guess = (left + up) >> 1
-                else:
-                    near = left + up - corner
-                    guess = min((abs(near - left), 0, left), (abs(near - up), 1, up), (abs(near - corner), 2, corner))[2]
-                now[x] = (int(line[x]) + guess) & 255
         else:
             now = line if kind == 0 else np.zeros_like(line)
         out[y] = above = now
     return out.astype(np.uint8)
 
 
+def _unfiltered_across(kinds: np.ndarray, pixels: np.ndarray) -> np.ndarray:
+    """Every filter, along the diagonals: a pixel needs its left, upper and upper left neighbours, which all lie on earlier ones."""
+    down, across, step = pixels.shape
+    done = np.zeros((down + 1, across + 1, step), np.int64)  # with a border of zeros
+    for d in range(down + across - 1):
+        y = np.arange(max(0, d - across + 1), min(down - 1, d) + 1)
+        x = d - y
+        left, up, corner, kind = done[y + 1, x], done[y, x + 1], done[y, x], kinds[y, None]
+        far = [np.abs(up - corner), np.abs(left - corner), np.abs(left + up - 2 * corner)]  # of the guess from each neighbour
+        nearest = np.where((far[0] <= far[1]) & (far[0] <= far[2]), left, np.where(far[1] <= far[2], up, corner))
+        guess = np.select([kind == 1, kind == 2, kind == 3, kind == 4], [left, up, (left + up) >> 1, nearest], 0)
+        done[y + 1, x + 1] = np.where(kind > 4, 0, (pixels[y, x] + guess) & 255)
+    return done[1:, 1:].reshape(down, -1).astype(np.uint8)
+
+
 def _png(raw: bytes, limits: ScanLimits) -> Image | None:
     if not raw.startswith(PNG):
         return None
@@ -212,9 +219,34 @@ def _tiff(raw: bytes, limits: ScanLimits) -> Image | None:
 _READERS = {".png": _png, ".bmp": _bmp, ".gif": _gif, ".tif": _tiff, ".tiff": _tiff}
 
 
+def _by_library(raw: bytes, limits: ScanLimits) -> Image | None:
+    """The image as an imaging library reads it, where one is installed; None if there is none or it can't."""
+    try:
+        from PIL import Image as library
+    except ImportError:
+        return None
+    try:
+        with library.open(io.BytesIO(raw)) as picture:
+            width, height = picture.size
+            checked_size(width, height, limits)
+            if picture.mode == "P":
+                return Image(picture.format or "UNKNOWN", "P", width, height, {"indices": np.frombuffer(picture.tobytes(), np.uint8)}, bytes(picture.getpalette() or []))
+            if picture.mode not in ("L", "LA", "RGB", "RGBA"):
+                picture = picture.convert("RGB")
+            samples = np.frombuffer(picture.tobytes(), np.uint8).reshape(-1, len(picture.mode))
+            return Image(getattr(picture, "format", None) or "UNKNOWN", picture.mode, width, height, {c: samples[:, k] for k, c in enumerate(picture.mode)})
+    except LimitExceeded:
+        raise
+    except Exception:  # what the library can't read, the readers here may
+        return None
+
+
 def read_image(raw: bytes, suffix: str, limits: ScanLimits) -> Image | None:
-    """The image, None if it can't be decoded; LimitExceeded beyond the limits."""
+    """The image, None if it can't be decoded; LimitExceeded beyond the limits. An installed imaging library goes first."""
     reader = _READERS.get(suffix)
+    found = _by_library(raw, limits) if reader else None
+    if found is not None:
+        return found
     try:
         return reader(raw, limits) if reader else None
     except LimitExceeded:

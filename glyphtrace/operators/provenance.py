@@ -11,7 +11,7 @@ from pathlib import Path
 from glyphtrace import dims
 from glyphtrace.operators.formats import PNG, png_parts
 
-FIELDS = ["status", "provider", "claim_generator", "signer_identity", "certificate_trust", "digital_source_type", "timestamps", "manifest_location", "validation_errors", "actions", "ingredients"]
+FIELDS = ["status", "provider", "claim_generator", "signer_identity", "certificate_trust", "digital_source_type", "timestamps", "manifest_location", "manifest_label", "validation_errors", "actions", "ingredients"]
 # What the codes of an untrusted signer contain.
 UNTRUSTED = ("untrusted", "unknownsigner", "credential.nottrusted", "signingcredential.untrusted")
 TOOL_OUTPUT = 10 << 20
@@ -102,19 +102,42 @@ def findings(r: dict) -> list[tuple]:
     return [(category, detector, text, confidence, r["manifest_location"], {"status": r["status"]}, risk) for category, detector in (("C2PA_PROVENANCE", "c2pa_validation"), ("PROVENANCE", "content_credentials"))]
 
 
+def _nested(value, key: str = "", listed: bool = False):
+    """Every object of a JSON value, as (key that it stands under, whether in a list, object)."""
+    if isinstance(value, dict):
+        yield key, listed, value
+    inner = value.items() if isinstance(value, dict) else ((key, x) for x in value) if isinstance(value, list) else ()
+    for k, x in inner:
+        yield from _nested(x, k, isinstance(value, list))
+
+
 def validation_entries(payload) -> list[dict]:
     """Distinct entries with a code, anywhere in a tool's report."""
-    found: dict[tuple[str, str], dict] = {}
-    stack = [(payload, "", False)]
-    while stack:
-        value, key, listed = stack.pop()
-        if isinstance(value, list):
-            stack += [(x, key, True) for x in reversed(value)]
-        elif isinstance(value, dict):
-            if "code" in value and (listed or "validation" in key.lower() or "explanation" in value or "url" in value):
-                found.setdefault((str(value.get("code", "")), str(value.get("explanation", ""))), value)
-            stack += [(x, k, False) for k, x in reversed(value.items())]
-    return list(found.values())
+    entries = [x for key, listed, x in _nested(payload) if "code" in x and (listed or "validation" in key.lower() or {"explanation", "url"} & x.keys())]
+    return list({(str(x.get("code", "")), str(x.get("explanation", ""))): x for x in reversed(entries)}.values())[::-1]
+
+
+# Where a tool's report has what a record tells, as paths from the report (@: its active manifest), the first that is there.
+_LABELS = ["active_manifest", "activeManifest"]
+_REPORT = {
+    "claim_generator": ["@.claim_generator", "@.claimGenerator"],
+    "signer_identity": [f"@.{s}.{n}" for s in ("signature_info", "signatureInfo") for n in ("issuer", "common_name", "commonName")],
+    "certificate_trust": [f"@.{s}.{n}" for s in ("signature_info", "signatureInfo") for n in ("cert_trust", "certificate_trust")],
+}
+_TIMES = [["@.signature_info.time", "@.signatureInfo.time"], ["@.signature_info.timestamp", "@.signatureInfo.timestamp"], ["@.claim_generator_time"]]
+#: Whom a certificate is trusted by, where the report does not say.
+_TRUST = {"UNTRUSTED_SIGNER": "untrusted", "VALID": "trusted"}
+
+
+def _at(report, active: dict, paths: list[str]):
+    """What stands at the first of the paths that holds something."""
+    for path in paths:
+        value = report
+        for step in path.split("."):
+            value = active if step == "@" else value.get(step) if isinstance(value, dict) else None
+        if value:
+            return value
+    return ""
 
 
 class ToolValidator:
@@ -149,32 +172,22 @@ class ToolValidator:
         """A record out of a tool's report."""
         if not isinstance(payload, dict):
             return {"status": "NOT_CHECKED", "validation_errors": ["the tool's report is no object"]}
-        manifests = payload.get("manifests")
-        manifests = manifests if isinstance(manifests, dict) else {}
-        label = str(payload.get("active_manifest") or payload.get("activeManifest") or "")
-        if not isinstance(manifests.get(label), dict):
-            label = next(iter(manifests), "")
-        active = manifests.get(label)
-        active = active if isinstance(active, dict) else {}
+        manifests = {k: v for k, v in payload["manifests"].items() if isinstance(v, dict)} if isinstance(payload.get("manifests"), dict) else {}
+        label = str(_at(payload, {}, _LABELS))
+        label = label if label in manifests else next(iter(manifests), "")
+        active = manifests.get(label, {})
         entries = validation_entries(payload)
         errors = [str(e.get("explanation") or e.get("code") or "validation error") for e in entries]
-        if not label:
-            status = "MISSING"
-        elif any(token in str(e.get("code", "")).lower() for e in entries for token in UNTRUSTED):
-            status = "UNTRUSTED_SIGNER"
-        elif entries or code:
-            status, errors = "TAMPERED", errors or [said or f"the tool ended with {code}"]
-        else:
-            status = "VALID"
-        first = lambda d, *names: next((d[n] for n in names if d.get(n)), "")
-        signature = first(active, "signature_info", "signatureInfo")
-        signature = signature if isinstance(signature, dict) else {}
-        actions = [a for x in active.get("assertions") or [] if isinstance(x, dict) and str(x.get("label", "")).startswith("c2pa.actions") and isinstance(x.get("data"), dict) for a in x["data"].get("actions", []) if isinstance(a, dict)]
-        signer = str(first(signature, "issuer", "common_name", "commonName"))
-        trust = {"UNTRUSTED_SIGNER": "untrusted", "VALID": "trusted"}.get(status, "unknown")
-        return {
-            "status": status, "provider": signer, "claim_generator": str(first(active, "claim_generator", "claimGenerator")), "signer_identity": signer,
-            "certificate_trust": str(first(signature, "cert_trust", "certificate_trust") or trust), "digital_source_type": next((str(a["digitalSourceType"]) for a in actions if a.get("digitalSourceType")), ""),
-            "timestamps": [str(x) for x in (signature.get("time"), signature.get("timestamp"), active.get("claim_generator_time")) if x], "validation_errors": errors, "actions": actions,
-            "ingredients": [x for x in active.get("ingredients") or [] if isinstance(x, dict)],
+        untrusted = any(token in str(e.get("code", "")).lower() for e in entries for token in UNTRUSTED)
+        rules = [(not label, "MISSING"), (untrusted, "UNTRUSTED_SIGNER"), (bool(entries or code), "TAMPERED"), (True, "VALID")]
+        status = next(s for holds, s in rules if holds)
+        if status == "TAMPERED" and not errors:
+            errors = [said or f"the tool ended with {code}"]
+        told = {name: str(_at(payload, active, paths)) for name, paths in _REPORT.items()}
+        acts = [x["data"].get("actions") or [] for x in active.get("assertions") or [] if isinstance(x, dict) and str(x.get("label", "")).startswith("c2pa.actions") and isinstance(x.get("data"), dict)]
+        actions = [a for some in acts for a in some if isinstance(a, dict)]
+        return told | {
+            "status": status, "provider": told["signer_identity"], "certificate_trust": told["certificate_trust"] or _TRUST.get(status, "unknown"), "manifest_label": label,
+            "digital_source_type": next((str(a["digitalSourceType"]) for a in actions if a.get("digitalSourceType")), ""), "timestamps": [str(t) for t in (_at(payload, active, p) for p in _TIMES) if t],
+            "validation_errors": errors, "actions": actions, "ingredients": [x for x in active.get("ingredients") or [] if isinstance(x, dict)],
         }

@@ -97,7 +97,7 @@ def decode_trailing(spark, sf_dir):
 
 
 def decode_line_endings(spark, sf_dir):
-    rows = _carriers(spark, sf_dir).filter("injected in ('eol_bits', 'clean')").select("doc_id", text.line_ending_bits("t").alias("bits"))
+    rows = _carriers(spark, sf_dir).select("doc_id", text.line_ending_bits("t").alias("bits"))
     return rows.select("doc_id", "bits", text.decode_bits(F.col("bits"))["text"].alias("decoded"))
 
 
@@ -111,11 +111,11 @@ def sanitize_text(spark, sf_dir):
     return rows.select("doc_id", F.sha2("t", 256).alias("sha256_before"), F.sha2("s.text", 256).alias("sha256_after"), *[F.col(f"s.{k}").alias(k) for k in kept])
 
 
-def severity_(spark, sf_dir):
+def severity_(spark, sf_dir, *keep):
     rows = _counts(spark, sf_dir)
     base = severity.base_severity(F.col("hidden"), F.col("trailing"), F.col("mixed"))
     flagged = (F.col("hidden") > 0) | (F.col("trailing") > 0) | F.col("mixed") | F.col("attention")
-    return rows.select("doc_id", "hidden", "trailing", "mixed", "attention", severity.severity(base, F.col("attention")).alias("severity"), flagged.alias("flagged"))
+    return rows.select("doc_id", "hidden", "trailing", "mixed", "attention", severity.severity(base, F.col("attention")).alias("severity"), flagged.alias("flagged"), *keep)
 
 
 def family_severity(spark, sf_dir):
@@ -134,7 +134,7 @@ def corpus_summary(spark, sf_dir):
 
 
 def folder_rollup(spark, sf_dir):
-    rows = severity_(spark, sf_dir).join(_carriers(spark, sf_dir).select("doc_id", F.col("source").alias("folder")), "doc_id")
+    rows = severity_(spark, sf_dir, F.col("source").alias("folder"))
     return rows.rollup("folder").agg(F.count("*").alias("files"), F.count_if("flagged").alias("flagged"), F.count_if(F.col("severity") == "critical").alias("critical"), F.sum("hidden").alias("hidden"))
 
 
@@ -339,7 +339,7 @@ CASE WHEN doc_id % 2 = 0 THEN 2 ELSE 0 END AS findings, 'NOT_CHECKED' AS image_r
     "html_comment_metadata": f"SELECT page_id, coalesce(regexp_matches(html, '(?s)<!--.*?-->'), false) AS text_comment, coalesce(array_to_string({_LAYOUT.replace("{t}", "html")}, ','), '') AS patterns, coalesce(len({_URL.replace("{t}", "html")}), 0)::BIGINT AS urls FROM pages",
     "decode_zero_width": rf"{_C}, z AS (SELECT doc_id, translate(regexp_replace(t, '[^\x{{200B}}\x{{200C}}\x{{200D}}]', '', 'g'), '{_ZW3}', '011') AS bits FROM carriers), d AS (SELECT doc_id, bits, {_BYTES('bits')} AS s FROM z) SELECT doc_id, bits, CASE WHEN regexp_full_match(s, '[\x20-\x7E\x{{A1}}-\x{{AC}}\x{{AE}}-\x{{FF}}]*') THEN s ELSE '' END AS decoded FROM d",
     "decode_trailing": rf"{_C}, z AS (SELECT doc_id, translate(array_to_string(regexp_extract_all(t, '([ \t]+)(?:\r|\n|$)', 1), ''), ' ' || chr(9), '01') AS bits FROM carriers) SELECT doc_id, bits, {_BYTES('bits')} AS decoded FROM z",
-    "decode_line_endings": rf"{_C}, z AS (SELECT doc_id, array_to_string(list_transform(regexp_extract_all(t, '\r\n|\n|\r'), lambda e: CASE WHEN length(e) = 2 THEN '1' ELSE '0' END), '') AS bits FROM carriers WHERE injected IN ('eol_bits', 'clean')), d AS (SELECT doc_id, bits, {_BYTES('bits')} AS s FROM z) SELECT doc_id, bits, CASE WHEN length(bits) >= 8 AND len(regexp_extract_all(s, '[ -~\r\n\t]')) * 9 >= length(s) * 6 THEN s ELSE '' END AS decoded FROM d",
+    "decode_line_endings": rf"{_C}, z AS (SELECT doc_id, array_to_string(list_transform(regexp_extract_all(t, '\r\n|\n|\r'), lambda e: CASE WHEN length(e) = 2 THEN '1' ELSE '0' END), '') AS bits FROM carriers), d AS (SELECT doc_id, bits, {_BYTES('bits')} AS s FROM z) SELECT doc_id, bits, CASE WHEN length(bits) >= 8 AND len(regexp_extract_all(s, '[ -~\x{{A1}}-\x{{AC}}\x{{AE}}-\x{{FF}}\r\n\t]')) * 9 >= length(s) * 6 THEN s ELSE '' END AS decoded FROM d",
     "normalize_homoglyphs": f"{_C} SELECT doc_id, sha256(translate(t, '{text.HOMOGLYPHS}', '{text.LATIN}')) AS sha256, {_N(_HG)} AS replaced FROM carriers",
     "sanitize_text": rf"{_C}, a AS (SELECT doc_id, t, translate(t, '{text.HOMOGLYPHS}{text.ZERO_WIDTH}{dims.BIDI}', '{text.LATIN}') AS u FROM carriers), b AS (SELECT *, regexp_replace(u, '[ \t]+(\r\n|\r|\n|$)', '\1', 'g') AS w FROM a) SELECT doc_id, sha256(t) AS sha256_before, sha256(regexp_replace(w, '\r\n|\r', chr(10), 'g')) AS sha256_after, {_N(_ZW)} AS zero_width_removed, {_N(_CLASS(dims.BIDI))} AS bidi_removed, {_N(_HG)} AS homoglyphs_replaced, length(u) - length(w) AS trailing_whitespace_removed, {_N(chr(92) + 'r' + chr(92) + 'n|' + chr(92) + 'r', 'w')} AS line_endings_normalized FROM b",
     "severity": f"{_COUNTED} SELECT doc_id, hidden, \"trailing\", mixed, attention, severity, flagged FROM sev",

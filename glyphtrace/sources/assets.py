@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphtrace import dims
@@ -99,6 +99,26 @@ def read_files(spark: SparkSession, files: list[str], limits: ScanLimits | None
     return listed.mapInArrow(run, SCHEMA)
 
 
+def read_store(spark: SparkSession, path: str | list[str], suffixes: set[str] | None = None, recursive: bool = True, limits: ScanLimits | None = None) -> DataFrame:
+    """Assets of a folder in any store that Spark reads, listed and read in parallel; content over the limit is not read.
+
+    Spark's listing leaves out names that begin with a dot or an underscore; list_files and read_files take them, on
+    folders that all machines share.
+    """
+    most = ScanLimits.of(limits).max_file_bytes
+    wanted = sorted(suffixes or parse_suffixes("ALL"))
+    name = F.regexp_extract("path", r"[^/]+$", 0)
+    suffix = F.lower(F.regexp_extract(name, r"(?<=[^.])(\.[^./]+)$", 1))
+    none = F.lit(None).cast("string")
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(path).filter(suffix.isin(wanted) | F.lower(name).isin(wanted))
+
+    def assets(of: DataFrame, content: Column, error: Column) -> DataFrame:
+        return of.select(F.col("path").alias("asset_id"), none.alias("parent_id"), F.col("path").alias("root_id"), F.lit(0).alias("depth"), "path", name.alias("name"), suffix.alias("suffix"), "length", content.alias("content"), error.alias("read_error"))
+
+    long = F.concat(F.lit("max_file_bytes exceeded: "), F.col("length").cast("string"), F.lit(f" > {most}"))
+    return assets(rows.filter(F.col("length") <= most), F.col("content"), none).unionAll(assets(rows.filter(F.col("length") > most), F.lit(None).cast("binary"), long))
+
+
 def from_column(df: DataFrame, id_col: str, column: str, name_col: str | None = None, suffix: str = ".txt") -> DataFrame:
     """Assets out of a string or binary column."""
     kind = dict(df.dtypes)[column]

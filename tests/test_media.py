@@ -1,6 +1,8 @@
 import io
 import math
 import struct
+import sys
+import types
 import wave
 import zipfile
 import zlib
@@ -267,3 +269,48 @@ def test_never_raises(tail, suffix, head):
     list(members(suffix, raw, L)), list(png_parts(raw)), list(bmff_parts(raw)), list(riff_parts(raw)), search_ranges(raw, suffix)
     robust.analyze_media(suffix, raw)
     provenance.examine("x" + suffix, suffix, raw)
+
+
+@pytest.mark.parametrize("step", [1, 3])
+def test_line_filters(step):
+    """Lines under all filters, mixed, against the definition, a sample at a time."""
+    g = np.random.Generator(np.random.PCG64(step))
+    rows = np.hstack([g.integers(0, 5, (23, 1)), g.integers(0, 256, (23, 17 * step))]).astype(np.uint8)
+    want = np.zeros((24, 17 * step + step), int)
+    for y in range(23):
+        for x in range(17 * step):
+            a, b, c = int(want[y + 1, x]), int(want[y, x + step]), int(want[y, x])
+            p = a + b - c
+            near = min(((abs(p - v), k, v) for k, v in enumerate((a, b, c))))[2]
+            want[y + 1, x + step] = (int(rows[y, x + 1]) + [0, a, b, (a + b) // 2, near][rows[y, 0]]) % 256
+    assert (pixels._unfiltered(rows, step) == want[1:, step:]).all()
+
+
+def test_imaging_library(monkeypatch):
+    """An installed library goes first; what it can't read, the built-in readers do."""
+
+    class Picture:
+        format, mode, size = "FAKE", "LA", (2, 1)
+
+        def __enter__(self):
+            return self
+
+        def __exit__(self, *a):
+            return None
+
+        def tobytes(self):
+            return b"abcd"
+
+    def open_(f):
+        if f.read(3) == b"bad":
+            raise OSError
+        return Picture()
+
+    library = types.ModuleType("PIL")
+    library.Image = types.SimpleNamespace(open=open_)
+    monkeypatch.setitem(sys.modules, "PIL", library)
+    got = pixels.read_image(b"good", ".png", L)
+    assert (got.format, got.mode, bytes(got.planes["L"]), bytes(got.planes["A"])) == ("FAKE", "LA", b"ac", b"bd")
+    assert pixels.read_image(b"bad", ".png", L) is None
+    with pytest.raises(LimitExceeded):
+        pixels.read_image(b"good", ".png", ScanLimits(max_image_pixels=1))

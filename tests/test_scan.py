@@ -12,7 +12,7 @@ from glyphtrace.operators.sanitize import decode_assets, provenance_impact, sani
 from glyphtrace.plans.scan import Hooks, families, scan, verify_text
 from glyphtrace.report import render_html, report_name, write_folder_reports, write_html, write_json, write_results
 from glyphtrace.sources import remote
-from glyphtrace.sources.assets import from_column, list_files, parse_suffixes, read_files
+from glyphtrace.sources.assets import from_column, list_files, parse_suffixes, read_files, read_store
 
 ZW = "\u200b"
 CLAIM = png(RGB, 2, extra=chunk(b"caBX", b'{"provider": "x"}'))
@@ -79,6 +79,13 @@ def test_listing(folder):
     assert list_files([str(folder / "side.png.c2pa.json")])[0]
 
 
+def test_store(spark, folder):
+    got = {r["name"]: r for r in read_store(spark, str(folder), limits={"max_file_bytes": 40}).collect()}
+    assert bytes(got["plain.txt"]["content"]) == FILES["plain.txt"] and got["bad.txt"]["content"] is None and "max_file_bytes" in got["bad.txt"]["read_error"]
+    assert "side.png.c2pa.json" in got and ".env" not in got and set(got) < {*FILES, "bad.txt", "x.txt", "link.txt", "side.png.c2pa.json"}
+    assert scan(read_store(spark, str(folder / "sub")))["verdicts"].first()["severity"] == "critical"
+
+
 def test_findings(tables):
     f = found(tables)
     assert f["private.png"] == ["png_private_chunk"] and f["meta.png"] == ["png_metadata_chunk"] and f["tail.png"] == ["png_appended_data"]
