@@ -5,9 +5,9 @@ of the corpus. Instead documents are routed to the shards that can matter to the
 
 1. Winnowed word n-grams of every document: two documents that share a window of `window` words share one of them.
 2. The windows around shared n-grams, hashed; for each window that several documents hold, the smallest id owns it.
-3. A reference shard is the passages that one document owns. Its suffix automaton is replicated to as many tasks as
-   the documents routed to it need, which stream through it; their matching statistics tell the spans of at least
-   `window` words, and those are removed.
+3. A reference shard is the passages that one document owns, those of a very long one by stretches of SHARD words. Its
+   suffix automaton is replicated to as many tasks as the documents routed to it need, which stream through it; their
+   matching statistics tell the spans of at least `window` words, and those are removed.
 
 The hashes only route; what is removed is what the automata match. Documents with equal words are one document up to
 routing: all but the smallest id go, if they have `window` words. All steps are grouped minima, joins and sorted
@@ -31,6 +31,8 @@ from glyphtrace.llm.kernels import Words, minimizers, mix, ragged, signed
 
 #: Documents that stream through one replica of a shard's automaton.
 STREAM = 128
+#: Words of a document whose windows make one shard, which bounds an automaton whatever the length of texts.
+SHARD = 1 << 16
 
 
 def _per_text(text: np.ndarray, values: np.ndarray, texts: int):
@@ -42,7 +44,7 @@ def _per_text(text: np.ndarray, values: np.ndarray, texts: int):
     return v[head], np.bincount(t[head], minlength=texts)
 
 
-def repeated_spans(ws: Workspace, docs: DataFrame, *, window: int = 50, gram: int = 16) -> tuple[DataFrame, DataFrame]:
+def repeated_spans(ws: Workspace, docs: DataFrame, *, window: int = 50, gram: int = 16, shard: int = SHARD) -> tuple[DataFrame, DataFrame]:
     """(every document: doc_id, n_words, whole_sha256, copy of an earlier one or not; spans: doc_id, spans of words to remove)."""
     spark = docs.sparkSession
     width = window - gram + 1
@@ -97,13 +99,18 @@ def repeated_spans(ws: Workspace, docs: DataFrame, *, window: int = 50, gram: in
             np.add.at(near, np.maximum(at - width + 1, 0), 1)
             np.add.at(near, at + 1, -1)
             use = (np.cumsum(near)[:-1] > 0) & whole
-            v, size = _per_text(text[use], h[use], b.num_rows)
-            yield pa.RecordBatch.from_arrays([pa.array(signed(v)), pa.array(np.repeat(np.asarray(b["id"]), size))], names=["w", "id"])
-
-    held = ws.keep(texts_of(live).select("id", "text", "live").mapInArrow(windows, "w long, id long"))
+            place = np.flatnonzero(use)
+            order = np.lexsort((place, h[place], text[place]))  # of equal windows of a text, the first
+            t, v = text[place][order], h[place][order]
+            head = np.ones(len(t), bool)
+            head[1:] = (t[1:] != t[:-1]) | (v[1:] != v[:-1])
+            stretch = (place[order][head] - w.first[t[head]]) // shard
+            yield pa.RecordBatch.from_arrays([pa.array(signed(v[head])), pa.array(np.asarray(b["id"])[t[head]]), pa.array(stretch.astype(np.int32))], names=["w", "id", "shard"])
+
+    held = ws.keep(texts_of(live).select("id", "text", "live").mapInArrow(windows, "w long, id long, shard int"))
     ws.done(live)
-    owners = held.groupBy("w").agg(F.min("id").alias("owner"), F.max("id").alias("hi")).filter("owner < hi").select("w", "owner")
-    routes = ws.keep(held.join(owners, "w").groupBy("id").agg(F.collect_list(F.struct("owner", "w")).alias("routes")))
+    owners = held.groupBy("w").agg(F.min(F.struct("id", "shard")).alias("o"), F.max("id").alias("hi")).filter("o.id < hi").select("w", F.col("o.id").alias("owner"), F.col("o.shard").alias("shard"))
+    routes = ws.keep(held.select("w", "id").join(owners, "w").groupBy("id").agg(F.collect_list(F.struct("owner", "shard", "w")).alias("routes")))
     ws.done(held)
 
     def passages(batches):
@@ -112,19 +119,20 @@ def repeated_spans(ws: Workspace, docs: DataFrame, *, window: int = 50, gram: in
             h, whole = w.grams(window)
             for i, (doc, routes) in enumerate(zip(b["id"].to_pylist(), b["routes"], strict=True)):
                 a, z = int(w.first[i]), int(w.first[i + 1])
-                owner, key = np.asarray(routes.values.field("owner")), np.asarray(routes.values.field("w")).view(np.uint64)
-                order = np.argsort(key)
-                owner, key = owner[order], key[order]
+                owner, part, key = (np.asarray(routes.values.field(c)) for c in ("owner", "shard", "w"))
+                order = np.argsort(key.view(np.uint64))
+                key = key.view(np.uint64)[order]
+                shards, of_key = np.unique(np.stack([owner, part], 1)[order], axis=0, return_inverse=True)
                 mine = h[a:z]
                 place = np.minimum(np.searchsorted(key, mine), len(key) - 1)
                 use = (key[place] == mine) & whole[a:z]
-                at, of = np.flatnonzero(use), owner[place[use]]
-                for r in np.unique(of).tolist():
-                    p = at[of == r]
+                at, of = np.flatnonzero(use), of_key.ravel()[place[use]]
+                for k in np.unique(of).tolist():
+                    p, (r, part_of) = at[of == k], shards[k].tolist()
                     cut = np.flatnonzero(np.diff(p) > 1) + 1
                     runs = [(int(q[0]), int(q[-1]) + window) for q in np.split(p, cut)]
                     words = np.concatenate([w.hash[a + x : a + y] for x, y in runs])
-                    yield pa.RecordBatch.from_arrays([pa.array([r], pa.int64()), pa.array([doc], pa.int64()), pa.array([[x for x, _ in runs]], pa.list_(pa.int32())), pa.array([[y - x for x, y in runs]], pa.list_(pa.int32())), pa.array([words.tobytes()], pa.binary())], names=["owner", "id", "start", "size", "words"])
+                    yield pa.RecordBatch.from_arrays([pa.array([r], pa.int64()), pa.array([part_of], pa.int32()), pa.array([doc], pa.int64()), pa.array([[x for x, _ in runs]], pa.list_(pa.int32())), pa.array([[y - x for x, y in runs]], pa.list_(pa.int32())), pa.array([words.tobytes()], pa.binary())], names=["owner", "shard", "id", "start", "size", "words"])
 
     def joined(batches):
         """Rows of passages() in batches of some size."""
@@ -138,19 +146,19 @@ def repeated_spans(ws: Workspace, docs: DataFrame, *, window: int = 50, gram: in
         if rows:
             yield from pa.Table.from_batches(rows).combine_chunks().to_batches()
 
-    cut = ws.keep(texts_of(routes).select("id", "text", "routes").mapInArrow(joined, "owner long, id long, start array<int>, size array<int>, words binary"))
+    cut = ws.keep(texts_of(routes).select("id", "text", "routes").mapInArrow(joined, "owner long, shard int, id long, start array<int>, size array<int>, words binary"))
     ws.done(routes)
-    replicas = cut.groupBy("owner").agg(F.ceil(F.count("*") / STREAM).cast("int").alias("replicas"))
-    dealt = cut.join(replicas, "owner").withColumn("own", F.col("id") == F.col("owner"))
+    replicas = cut.groupBy("owner", "shard").agg(F.ceil(F.count("*") / STREAM).cast("int").alias("replicas"))
+    dealt = cut.join(replicas, ["owner", "shard"]).withColumn("own", F.col("id") == F.col("owner"))
     dealt = dealt.withColumn("replica", F.explode(F.when(F.col("own"), F.sequence(F.lit(0), F.col("replicas") - 1)).otherwise(F.array(F.pmod(F.xxhash64("id"), F.col("replicas")).cast("int")))))
 
     def stream(batches):
         key = automaton = None
         for b in batches:
             found_id, found = [], []
-            for owner, replica, own, doc, start, size, words in zip(*(b[c].to_pylist() for c in ("owner", "replica", "own", "id", "start", "size", "words")), strict=True):
-                if key != (owner, replica):
-                    key, automaton = (owner, replica), SuffixAutomaton()
+            for *at_, own, doc, start, size, words in zip(*(b[c].to_pylist() for c in ("owner", "shard", "replica", "own", "id", "start", "size", "words")), strict=True):
+                if key != at_:
+                    key, automaton = at_, SuffixAutomaton()
                 sequence = np.frombuffer(words, np.int64).tolist()
                 at = 0
                 for s, n in zip(start, size, strict=True):
@@ -164,17 +172,17 @@ def repeated_spans(ws: Workspace, docs: DataFrame, *, window: int = 50, gram: in
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(found_id, pa.int64()), pa.array(found, pa.struct([("a", pa.int32()), ("b", pa.int32())]))], names=["id", "span"])
 
-    spans = dealt.repartition("owner", "replica").sortWithinPartitions("owner", "replica", F.col("own").desc(), "id").select("owner", "replica", "own", "id", "start", "size", "words").mapInArrow(stream, "id long, span struct<a:int,b:int>")
+    spans = dealt.repartition("owner", "shard", "replica").sortWithinPartitions("owner", "shard", "replica", F.col("own").desc(), "id").select("owner", "shard", "replica", "own", "id", "start", "size", "words").mapInArrow(stream, "id long, span struct<a:int,b:int>")
     spans = ws.keep(spans.groupBy("id").agg(F.collect_set("span").alias("spans")))
     ws.done(cut)
     return known, texts_of(spans)
 
 
-def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", window: int = 50, gram: int = 16) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", window: int = 50, gram: int = 16, shard: int = SHARD) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, kept_text (null where nothing was cut out) of every document."""
     ws = Workspace(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), "text")
-    known, spans = repeated_spans(ws, docs, window=window, gram=gram)
+    known, spans = repeated_spans(ws, docs, window=window, gram=gram, shard=shard)
 
     def cut(batches):
         for b in slices(batches):

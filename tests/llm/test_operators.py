@@ -96,13 +96,14 @@ def test_shingle_join(docs, rows, none, bounds):
     assert shingle_join.jaccard_classes(none).count() == 0
 
 
-def test_substring_dedup(docs, rows, none):
+@pytest.mark.parametrize("shard", [substring_dedup.SHARD, 37])
+def test_substring_dedup(docs, rows, none, shard):
     first = {}
     for k, t, *_ in rows:
         w = words(t)
         for i in range(len(w) - 49):
             first.setdefault(tuple(w[i : i + 50]), k)
-    got = {r["doc_id"]: r for r in substring_dedup.remove_repeats(docs).collect()}
+    got = {r["doc_id"]: r for r in substring_dedup.remove_repeats(docs, shard=shard).collect()}
     removed = 0
     for k, t, *_ in rows:
         w, keep = words(t), None
