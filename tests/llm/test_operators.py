@@ -443,6 +443,43 @@ def test_language_model(docs, rows, none):
     assert language_model.score(none, none).count() == 0
 
 
+def test_language_model_word_factor():
+    """The steps end where the penalised likelihood is flat, and the words of a class keep a sum of one."""
+    g = np.random.Generator(np.random.PCG64(3))
+    share, group = g.dirichlet(np.ones(50)), np.repeat([0, 1], [20, 7])
+    of = np.concatenate([g.choice(50, 20, False), g.choice(50, 7, False)])
+    n = g.integers(2, 40, 27)
+    mass = np.bincount(group, n)[group] + 30
+    weight, total = language_model._step_pairs(share[of], n, mass, group)
+    p = share[of] * np.exp(weight) / total[group]
+    assert np.abs(n - mass * p - weight).max() < 1e-3
+    for k in (0, 1):
+        mine = group == k
+        others = np.setdiff1d(np.arange(50), of[mine])
+        assert p[mine].sum() + share[others].sum() / total[k] == pytest.approx(1)
+
+
+def test_language_model_learns_word_order(spark):
+    """Held-out texts in the order of words that training texts have score above the same words in another one."""
+    r = random.Random(8)
+    chain = {k: [r.randrange(60) for _ in range(2)] for k in range(60)}
+
+    def walk(n):
+        out = [r.randrange(60)]
+        while len(out) < n:
+            out.append(r.choice(chain[out[-1]]))
+        return out
+
+    text = lambda ws: " ".join(f"{chr(97 + k % 7)}{k}x" for k in ws)
+    train = spark.createDataFrame([(k, text(walk(80))) for k in range(150)], "doc_id long, text string")
+    held = [walk(80) for _ in range(20)]
+    docs = spark.createDataFrame([(k, text(w)) for k, w in enumerate(held)] + [(100 + k, text(r.sample(w, len(w)))) for k, w in enumerate(held)], "doc_id long, text string")
+    got = {x["doc_id"]: x["score"] for x in language_model.score(docs, train).collect()}
+    none = {x["doc_id"]: x["score"] for x in language_model.score(docs, train, pairs=0).collect()}
+    assert all(got[k] > got[100 + k] + 20 for k in range(20))
+    assert sum(got[k] for k in range(20)) > 0.8 * sum(none[k] for k in range(20))
+
+
 def test_language_model_on_prose(spark):
     """On held-out documents the model beats its base by far, and long or repeated texts and rows without ids are scored whole."""
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
