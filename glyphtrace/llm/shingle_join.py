@@ -185,14 +185,14 @@ def jaccard_classes(docs: DataFrame, *, id_col: str = "doc_id", shingle: int = 4
             head = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
             of = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(t))))
             order = np.lexsort((i, -typical, of))
-            hub = i[order][head][of]
+            hub, best = i[order][head][of], typical[order][head][of]
             before = np.concatenate([[0], i[:-1]])
             before[head] = i[head]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (t, i, n, p, hub, before, part)], names=["token", "id", "n", "pos", "hub", "before", "part"])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (t, i, n, p, hub, before, best, part)], names=["token", "id", "n", "pos", "hub", "before", "best", "part"])
 
     spread = classes.select("id", "n", "typical", F.posexplode("prefix").alias("pos", "token"))
     spread = spread.repartitionByRange("token", "n", "id").sortWithinPartitions("token", "n", "id").select("token", "id", "n", "pos", "typical")
-    shared = ws.keep(spread.mapInArrow(lists, "token long, id long, n long, pos int, hub long, before long, part boolean"))
+    shared = ws.keep(spread.mapInArrow(lists, "token long, id long, n long, pos int, hub long, before long, best float, part boolean"))
 
     parity = classes.select("id", "n", "parity", "wide")
 
@@ -222,10 +222,10 @@ def jaccard_classes(docs: DataFrame, *, id_col: str = "doc_id", shingle: int = 4
         overlap = overlap.groupBy("a", "b", "na", "nb", "fragment").agg(F.max("common").alias("common")).groupBy("a", "b", "na", "nb").agg(F.sum("common").alias("common"))
         return ws.keep(overlap.filter(F.col("common") * 100 >= (F.col("na") + F.col("nb") - F.col("common")) * percent).select("a", "b"))
 
-    votes = shared.filter("id <> hub").groupBy("id", F.col("hub").alias("other")).agg(F.count("*").alias("v")).unionAll(shared.filter("id <> before").groupBy("id", F.col("before").alias("other")).agg((F.count("*") - 0.5).alias("v")))
-    # the hubs of one list's parts meet the smallest of them
-    parts = shared.filter("part").groupBy("token").agg(F.min("hub").alias("other"), F.max("hub").alias("high")).filter("other < high")
-    votes = votes.unionAll(shared.filter("part and id = hub").join(parts, "token").filter("id <> other").select("id", "other", F.lit(1e9).alias("v")))
+    # a list that is dealt over tasks has one hub, too: the best of its parts'
+    parts = shared.filter("part").groupBy("token").agg(F.max(F.struct("best", (-F.col("hub")).alias("low"))).alias("x")).select("token", (-F.col("x.low")).alias("other"))
+    hubs = shared.filter("not part").select("id", F.col("hub").alias("other")).unionAll(shared.filter("part").select("token", "id").join(parts, "token").select("id", "other"))
+    votes = hubs.filter("id <> other").groupBy("id", "other").agg(F.count("*").alias("v")).unionAll(shared.filter("id <> before").groupBy("id", F.col("before").alias("other")).agg((F.count("*") - 0.5).alias("v")))
     best = votes.groupBy("id").agg(F.max(F.struct("v", "other"))["other"].alias("other"))
     first = linked(best.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct())
     joined = ws.keep(components(ws, classes.select("id"), first))
