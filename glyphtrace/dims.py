@@ -148,6 +148,7 @@ LAYOUT_PATTERNS = {
     "visibility_hidden": rf"visibility[{SPACES}]*:[{SPACES}]*hidden",
     "off_canvas": rf"(?:left|top)[{SPACES}]*:[{SPACES}]*-\p{{Nd}}{{3,}}(?:px|pt)",
 }
+# Patterns of intervals between sentences and of addresses, and the punctuation that ends none.
 TYPOGRAPHY_PATTERN = rf"[.!?](?:[{SPACES}]+[{WORDS}]+){{1,4}}[{SPACES}]{{2}}"
 URL_PATTERN = rf"https?://[^\"'<>{SPACES}]+"
 URL_TAIL = ".,;:!?)]}"

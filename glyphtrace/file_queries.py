@@ -7,14 +7,15 @@ from pyspark.sql import functions as F
 
 from glyphtrace import dims
 from glyphtrace.functions import lsb
+from glyphtrace.limits import ScanLimits
 from glyphtrace.operators.binary import byte_hits, capped_hits
 from glyphtrace.operators.containers import expand
 from glyphtrace.operators.formats import PNG
-from glyphtrace.operators.sanitize import sanitize_assets
+from glyphtrace.operators.sanitize import provenance_impact, sanitize_assets
 from glyphtrace.operators.structure import structure_findings
-from glyphtrace.plans.scan import scan
+from glyphtrace.plans.scan import Hooks, examined, lsb_channels, scan
 from glyphtrace.queries import _COUNTED, _LEN, _PIX, _binary, _carriers, _chunk, _number, _pixels, _raw
-from glyphtrace.sources.assets import from_column
+from glyphtrace.sources.assets import from_column, with_text
 
 CAP = 40
 
@@ -168,7 +169,70 @@ def lsb_verdicts(spark, sf_dir):
     return lsb.verdict(images, ["image"]).select("image", "suspicious_channels", "verdict", F.round("confidence", 6).alias("confidence"))
 
 
+def text_decoding(spark, sf_dir):
+    """Routing by suffix and decoding: every second document has a byte that is no UTF-8."""
+    tail = F.when(F.col("doc_id") % 2 == 1, _raw("\xe9")).otherwise(_raw(""))
+    kind = F.pmod("doc_id", F.lit(4))
+    rows = _binary(spark, sf_dir, F.concat(F.col("b"), tail), F.when(kind == 0, ".txt").when(kind == 1, ".MD").when(kind == 2, ".wasm").otherwise(".odd"))
+    return rows.select(F.col("asset_id").cast("long").alias("doc_id"), "suffix", "mode", "encoding", F.length("text").cast("long").alias("characters"), F.col("utf8_text").isNull().alias("no_utf8"))
+
+
+def robust_suffix_gate(spark, sf_dir):
+    """Declared watermarks count only in media of their kind: all three kinds' markers in five formats."""
+    kind = F.pmod("doc_id", F.lit(5))
+    suffix = F.when(kind == 0, ".webp").when(kind == 1, ".mp3").when(kind == 2, ".avi").when(kind == 3, ".txt").otherwise(".tiff")
+    rows = structure_findings(_binary(spark, sf_dir, _raw("DCT-watermark Echo-Hiding chroma-watermark"), suffix)).filter("detector = 'declared_robust_watermark_signal'")
+    return rows.select(F.col("asset_id").cast("long").alias("doc_id"), "category", "evidence", "risk")
+
+
+def nested_archives(spark, sf_dir):
+    """Pages in archives in archives, opened down to the limit of two levels; the third is told as too deep."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    no = F.lit(False)
+    one = _zip([(F.lit("page.html"), F.encode(F.coalesce("text", F.lit("")), "UTF-8"))], _raw(""), no)
+    rows = docs.select("doc_id", one.alias("z"))
+    two = _zip([(F.lit("one.zip"), F.col("z")), (F.lit("side.svg"), _raw("<svg/>"))], _raw(""), no)
+    rows = rows.select("doc_id", F.when(F.col("doc_id") % 2 == 0, two).otherwise(F.col("z")).alias("z"))
+    opened = expand(from_column(rows.select("doc_id", _zip([(F.lit("two.zip"), F.col("z"))], _raw(""), no).alias("c")), "doc_id", "c", suffix=".zip"), ScanLimits(max_nesting_depth=2))
+    name, path = F.coalesce("name", F.lit("")), F.regexp_replace("path", r"^\d+", "d")
+    return opened.select(F.col("root_id").cast("long").alias("doc_id"), "depth", name.alias("name"), path.alias("path"), F.coalesce("read_error", F.lit("")).alias("error"))
+
+
+def sidecar_status(spark, sf_dir):
+    """Pictures with a manifest beside them, by full name or by stem, whole or broken; and pictures without."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
+    n, kind = F.col("doc_id").cast("string"), F.pmod("doc_id", F.lit(4))
+    said = F.when(kind == 2, F.concat(F.lit('{"provider": "p'), n, F.lit('"}'))).when(kind == 1, F.lit("{broken")).otherwise(F.lit('{"provider": "full"}'))
+    rows = docs.select(n.alias("id"), _raw("<svg/>").alias("c"), F.concat(F.lit("a/"), n, F.lit(".svg")).alias("name"))
+    side = docs.filter("doc_id % 4 > 0").select(F.concat(F.lit("s"), n).alias("id"), F.encode(said, "UTF-8").alias("c"), F.concat(F.lit("a/"), n, F.when(kind == 2, ".c2pa.json").otherwise(".svg.c2pa.json")).alias("name"))
+    looked = examined(with_text(from_column(rows.unionAll(side), "id", "c", "name")), Hooks(), ScanLimits()).filter("asset_id not like 's%'")
+    told = lambda k: F.get_json_object("provenance", f"$.{k}").alias(k)
+    return looked.select(F.col("asset_id").cast("long").alias("doc_id"), told("status"), told("provider"), told("manifest_location"), F.size("findings").cast("long").alias("findings"))
+
+
+def image_headers(spark, sf_dir):
+    """BMP and TIFF files of as many rows as doc_id says, in a single colour: format, mode, size and channels."""
+    down, even = (F.col("doc_id") % 7 + 8).cast("int"), F.col("doc_id") % 2 == 0
+    body = F.encode(F.repeat(F.lit("a"), down * 8 * 3), "UTF-8")
+    bmp = F.concat(_raw("BM"), _little(F.lit(54) + F.octet_length(body), 4), _raw("\0" * 4), _little(F.lit(54), 4), _little(F.lit(40), 4), _little(F.lit(8), 4), _little(down, 4), _raw("\x01\0\x18\0"), _raw("\0" * 24), body)
+    tag = lambda t, v: F.concat(_little(F.lit(t)), _raw("\x04\0\x01\0\0\0"), _little(v, 4))
+    tags = [tag(256, F.lit(8)), tag(257, down), tag(258, F.lit(8)), tag(259, F.lit(1)), tag(262, F.lit(2)), tag(273, F.lit(94)), tag(277, F.lit(3))]
+    tiff = F.concat(_raw("II*\0\x08\0\0\0\x07\0"), *tags, body)
+    rows = lsb_channels(_binary(spark, sf_dir, F.when(even, bmp).otherwise(tiff), F.when(even, ".bmp").otherwise(".tif")), ScanLimits())
+    return rows.select(F.col("asset_id").cast("long").alias("doc_id"), "format", "mode", "width", "height", "channel", F.col("error").isNotNull().alias("failed"))
+
+
+def provenance_impacts(spark, sf_dir):
+    """What a sanitizer does to provenance, for every mix of status before, status after and change."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    status = lambda k: F.when(F.pmod(F.floor(F.col("doc_id") / k), F.lit(3)) == 0, "VALID").when(F.pmod(F.floor(F.col("doc_id") / k), F.lit(3)) == 1, "TAMPERED").otherwise("MISSING")
+    before, after = (docs.select(F.col("doc_id").alias("asset_id"), status(k).alias("status")) for k in (1, 3))
+    changed = docs.select(F.col("doc_id").alias("asset_id"), (F.floor(F.col("doc_id") / 9) % 2 == 1).alias("changed"))
+    return provenance_impact(before, after, changed).withColumnRenamed("asset_id", "doc_id")
+
+
 QUERIES = {
+    "text_decoding": text_decoding, "robust_suffix_gate": robust_suffix_gate, "nested_archives": nested_archives, "sidecar_status": sidecar_status, "image_headers": image_headers, "provenance_impacts": provenance_impacts,
     "archive_structure": archive_structure, "archive_members": archive_members, "pdf_members": pdf_members, "png_malformed": png_malformed, "metadata_fields": metadata_fields,
     "search_ranges": search_ranges, "hit_cap": hit_cap, "incomplete_verdicts": incomplete_verdicts, "text_diff": text_diff,
     "lsb_regular_singular": lsb_regular_singular, "lsb_block_entropy": lsb_block_entropy, "lsb_palette": lsb_palette, "lsb_full_vote": lsb_full_vote, "lsb_verdicts": lsb_verdicts,
@@ -194,6 +258,19 @@ pb AS (SELECT *, size >= 16 AND entropy > 0.92 AND (sorted OR usage_cv < 0.3) AS
 vt AS (SELECT channel, chi.suspicious::BIGINT + sp.suspicious::BIGINT + enf.suspicious::BIGINT + pb.suspicious::BIGINT + (rs.estimate > 0.15)::BIGINT AS votes FROM chi JOIN sp USING (channel) JOIN enf USING (channel) JOIN pb USING (channel) JOIN rs USING (channel) WHERE rs.corrected)
 """
 ORACLES = {
+    "text_decoding": f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, {_LEN} AS n, doc_id % 2 = 1 AS odd FROM documents)
+SELECT doc_id, ['.txt', '.md', '.wasm', '.odd'][doc_id % 4 + 1] AS suffix, CASE WHEN doc_id % 4 = 2 THEN 'binary' ELSE 'text' END AS mode, CASE WHEN odd THEN 'latin-1' ELSE 'utf-8' END AS encoding, CASE WHEN odd THEN n + 1 ELSE length(t) END AS characters, odd AS no_utf8 FROM d""",
+    "robust_suffix_gate": """SELECT doc_id, CASE WHEN doc_id % 5 IN (0, 4) THEN 'IMAGE_ROBUST' WHEN doc_id % 5 = 1 THEN 'AUDIO_ROBUST' ELSE 'VIDEO_ROBUST' END AS category, '{"signal_families":["' || CASE WHEN doc_id % 5 IN (0, 4) THEN 'transform_domain' WHEN doc_id % 5 = 1 THEN 'echo' ELSE 'chroma' END || '"],"proof":false}' AS evidence, 'informational' AS risk FROM documents WHERE doc_id % 5 <> 3""",
+    "nested_archives": """SELECT doc_id, 1 AS depth, 'two.zip' AS name, 'd.zip!two.zip' AS path, '' AS error FROM documents
+UNION ALL SELECT doc_id, 2, 'one.zip', 'd.zip!two.zip!one.zip', '' FROM documents WHERE doc_id % 2 = 0
+UNION ALL SELECT doc_id, 2, 'side.svg', 'd.zip!two.zip!side.svg', '' FROM documents WHERE doc_id % 2 = 0
+UNION ALL SELECT doc_id, 3, '', 'd.zip!two.zip!one.zip', 'nesting depth limit reached' FROM documents WHERE doc_id % 2 = 0
+UNION ALL SELECT doc_id, 2, 'page.html', 'd.zip!two.zip!page.html', '' FROM documents WHERE doc_id % 2 = 1
+UNION ALL SELECT doc_id, 3, '', 'd.zip!two.zip!page.html', 'nesting depth limit reached' FROM documents WHERE doc_id % 2 = 1""",
+    "sidecar_status": """SELECT doc_id, ['MISSING', 'TAMPERED', 'NOT_CHECKED', 'NOT_CHECKED'][doc_id % 4 + 1] AS status, ['', '', 'p' || doc_id, 'full'][doc_id % 4 + 1] AS provider, CASE doc_id % 4 WHEN 0 THEN '' WHEN 2 THEN 'a/' || doc_id || '.c2pa.json' ELSE 'a/' || doc_id || '.svg.c2pa.json' END AS manifest_location, CASE WHEN doc_id % 4 = 0 THEN 0 ELSE 2 END AS findings FROM documents""",
+    "image_headers": """SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'BMP' ELSE 'TIFF' END AS format, 'RGB' AS mode, 8 AS width, (doc_id % 7 + 8)::INT AS height, unnest(['R', 'G', 'B']) AS channel, false AS failed FROM documents""",
+    "provenance_impacts": """WITH d AS (SELECT doc_id, doc_id % 3 = 0 AS b, (doc_id // 3) % 3 = 0 AS a, (doc_id // 9) % 2 = 1 AS changed FROM documents)
+SELECT doc_id, CASE WHEN b AND a AND NOT changed THEN 'preserved' WHEN b THEN 'invalidated' WHEN changed THEN 'not_applicable' ELSE 'unchanged' END AS provenance_impact FROM d""",
     "archive_structure": f"""WITH d AS (SELECT doc_id, {_SECOND} AS second, doc_id % 5 = 0 AS locked FROM documents)
 SELECT doc_id, 'archive_embedded_files' AS detector, '' AS location, '{{"file_count":2,"nested_archives":[' || CASE WHEN second = 'inner.zip' THEN '"inner.zip"' ELSE '' END || '],"encrypted_members":[' || CASE WHEN locked THEN '"a/page.html","' || second || '"' ELSE '' END || '],"sample_members":["a/page.html","' || second || '"]}}' AS evidence, CASE WHEN locked OR second = 'inner.zip' THEN 'high' ELSE 'informational' END AS risk FROM d
 UNION ALL SELECT doc_id, 'format_metadata_fields', '', '{{"fields":[' || array_to_string(list_filter([CASE WHEN doc_id % 3 = 0 THEN '"archive_comment"' END, CASE WHEN doc_id % 4 = 2 THEN '"office_properties"' END], lambda x: x IS NOT NULL), ',') || ']}}', 'informational' FROM d WHERE doc_id % 3 = 0 OR doc_id % 4 = 2""",
