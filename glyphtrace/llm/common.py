@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 #: Rows of one Arrow batch; texts are long, and Spark's own default holds ten thousand of them at once.
 BATCH_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: UTF-8 bytes of text that one numpy pass works on; what a pass holds in memory is a fixed multiple of it.
 SLICE_BYTES = 512 << 10
 
@@ -38,12 +39,14 @@ class Workspace:
     """Intermediate tables of one operator call in the shared folder.
 
     keep() writes a DataFrame as Parquet and reads it again, which cuts the lineage so that lost executors cost no more
-    than the stage at hand. result() writes the last one and removes the others.
+    than the stage at hand. result() writes the last one, removes the others and gives the session its own batch size
+    back; an operator that returns what is still to be computed leaves it at BATCH_ROWS.
     """
 
     def __init__(self, spark: SparkSession):
-        if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
-            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+        self.rows_before = spark.conf.get(_BATCH)
+        if self.rows_before == "10000":
+            spark.conf.set(_BATCH, str(BATCH_ROWS))
         self.spark, self.at, self.paths = spark, f"{shared_folder(spark)}/glyphtrace-{uuid.uuid4().hex}", []
 
     def keep(self, df: DataFrame) -> DataFrame:
@@ -67,6 +70,7 @@ class Workspace:
     def result(self, df: DataFrame) -> DataFrame:
         out = self.keep(df)
         self.leave(out)
+        self.spark.conf.set(_BATCH, self.rows_before)
         return out
 
     def leave(self, *kept: DataFrame) -> None:
