@@ -222,9 +222,10 @@ def jaccard_classes(docs: DataFrame, *, id_col: str = "doc_id", shingle: int = 4
         overlap = overlap.groupBy("a", "b", "na", "nb", "fragment").agg(F.max("common").alias("common")).groupBy("a", "b", "na", "nb").agg(F.sum("common").alias("common"))
         return ws.keep(overlap.filter(F.col("common") * 100 >= (F.col("na") + F.col("nb") - F.col("common")) * percent).select("a", "b"))
 
-    # a list that is dealt over tasks has one hub, too: the best of its parts'
+    # a list that is dealt over tasks has one hub, too: the best of its parts. There are two such lists a task and one for
+    # each `most` rows at most, so they are broadcast
     parts = shared.filter("part").groupBy("token").agg(F.max(F.struct("best", (-F.col("hub")).alias("low"))).alias("x")).select("token", (-F.col("x.low")).alias("other"))
-    hubs = shared.filter("not part").select("id", F.col("hub").alias("other")).unionAll(shared.filter("part").select("token", "id").join(parts, "token").select("id", "other"))
+    hubs = shared.filter("not part").select("id", F.col("hub").alias("other")).unionAll(shared.filter("part").select("token", "id").join(F.broadcast(parts), "token").select("id", "other"))
     votes = hubs.filter("id <> other").groupBy("id", "other").agg(F.count("*").alias("v")).unionAll(shared.filter("id <> before").groupBy("id", F.col("before").alias("other")).agg((F.count("*") - 0.5).alias("v")))
     best = votes.groupBy("id").agg(F.max(F.struct("v", "other"))["other"].alias("other"))
     first = linked(best.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct())
