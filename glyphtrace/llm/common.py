@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -13,11 +14,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of one Arrow batch; texts are long, and Spark's own default holds ten thousand of them at once.
-BATCH_ROWS = 1000
-_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows and bytes of one Arrow batch, whichever are reached first; Spark's own defaults hold 64 MB of text at once, in
+#: buffers that an executor keeps.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(1 << 20)}
 #: UTF-8 bytes of text that one numpy pass works on; what a pass holds in memory is a fixed multiple of it.
-SLICE_BYTES = 512 << 10
+SLICE_BYTES = 192 << 10
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,13 +41,13 @@ class Workspace:
 
     keep() writes a DataFrame as Parquet and reads it again, which cuts the lineage so that lost executors cost no more
     than the stage at hand. result() writes the last one, removes the others and gives the session its own batch size
-    back; an operator that returns what is still to be computed leaves it at BATCH_ROWS.
+    back; an operator that returns what is still to be computed leaves BATCH.
     """
 
     def __init__(self, spark: SparkSession):
-        self.rows_before = spark.conf.get(_BATCH)
-        if self.rows_before == "10000":
-            spark.conf.set(_BATCH, str(BATCH_ROWS))
+        self.before = {k: spark.conf.get(k) for k in BATCH}
+        for k, v in BATCH.items():
+            spark.conf.set(k, v)
         self.spark, self.at, self.paths = spark, f"{shared_folder(spark)}/glyphtrace-{uuid.uuid4().hex}", []
 
     def keep(self, df: DataFrame) -> DataFrame:
@@ -70,7 +71,8 @@ class Workspace:
     def result(self, df: DataFrame) -> DataFrame:
         out = self.keep(df)
         self.leave(out)
-        self.spark.conf.set(_BATCH, self.rows_before)
+        for k, v in self.before.items():
+            self.spark.conf.set(k, v)
         return out
 
     def leave(self, *kept: DataFrame) -> None:
@@ -91,6 +93,15 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+def give_back() -> None:
+    """Returns what a task has freed to the system: workers live on beside others, and idle ones would keep it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not the GNU C library
+        pass
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches cut so that the column holds about `limit` bytes; a longer text stands alone, whole."""
     for b in batches:
@@ -101,6 +112,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
         cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), b.num_rows]
         for i, j in zip(cuts, cuts[1:], strict=False):
             yield b.slice(i, j - i)
+    give_back()
 
 
 def numbered(ws: Workspace, docs: DataFrame, id_col: str) -> DataFrame:
@@ -166,7 +178,7 @@ def dense_sum(df: DataFrame, per_task, length: int, kind=np.float64, chunk: int
         total = sum(np.frombuffer(x, kind) for x in t["part"].to_pylist())
         return pa.table({"chunk": pa.array([t["chunk"][0].as_py()], pa.int32()), "part": pa.array([total.tobytes()], pa.binary())})
 
-    out = np.zeros(length)
+    out = np.zeros(length, kind)
     for k, part in df.mapInArrow(run, "chunk int, part binary").groupBy("chunk").applyInArrow(add, "chunk int, part binary").collect():
         out[k * chunk : k * chunk + len(part) // np.dtype(kind).itemsize] = np.frombuffer(part, kind)
     return out

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphtrace.llm.common import Workspace, apart, components, dense_sum, id_bitmap, in_bitmap, numbered, slices, table
+from glyphtrace.llm.common import Workspace, apart, components, dense_sum, give_back, id_bitmap, in_bitmap, numbered, slices, table
 from glyphtrace.llm.kernels import Words, mix, ragged, signed
 
 SKETCH_BITS = 20
@@ -95,6 +95,8 @@ def _whole_lists(batches, names: tuple[str, ...], most: int, ranged: bool = Fals
             held = [x[cut:] for x in held] if cut < len(held[0]) else None
     if held is not None and len(held[0]):
         yield held, begun, ranged
+    held = None
+    give_back()
 
 
 def _pivots(counts: np.ndarray, level: np.ndarray, fragments: int) -> np.ndarray:
@@ -206,12 +208,10 @@ def jaccard_classes(docs: DataFrame, *, id_col: str = "doc_id", shingle: int = 4
 
         def segments(batches):
             level, pivots = order.value
-            for whole in batches:
-                whole = whole.filter(pa.array(in_bitmap(wanted.value, np.asarray(whole["doc_id"].fill_null(-1)))))
-                for b in slices([whole]):
-                    text, rank = _ranks(Words(b["text"], lower), shingle, level)
-                    key, size = np.unique(text * fragments + np.searchsorted(pivots, rank, side="right"), return_counts=True)
-                    yield pa.RecordBatch.from_arrays([b["doc_id"].take(pa.array(key // fragments)), pa.array((key % fragments).astype(np.int32)), ragged(signed(rank), size)], names=["id", "fragment", "part"])
+            for b in slices(b.filter(pa.array(in_bitmap(wanted.value, np.asarray(b["doc_id"].fill_null(-1))))) for b in batches):
+                text, rank = _ranks(Words(b["text"], lower), shingle, level)
+                key, size = np.unique(text * fragments + np.searchsorted(pivots, rank, side="right"), return_counts=True)
+                yield pa.RecordBatch.from_arrays([b["doc_id"].take(pa.array(key // fragments)), pa.array((key % fragments).astype(np.int32)), ragged(signed(rank), size)], names=["id", "fragment", "part"])
 
         cut = ws.keep(docs.filter("doc_id is not null").mapInArrow(segments, "id long, fragment int, part array<long>"))
         # both sides are dealt by document and fragment, so the segments are shuffled once

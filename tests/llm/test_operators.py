@@ -207,8 +207,10 @@ def test_id_bitmap(spark):
 
 
 def test_suffix_dedup_of_repeated_rows(docs):
+    before = {k: docs.sparkSession.conf.get(k) for k in common.BATCH}
     twice = docs.filter("doc_id = 17").unionAll(docs.filter("doc_id = 17"))
     assert [r["n_removed"] == r["n_bytes"] for r in suffix_dedup.remove_repeated_bytes(twice).collect()] == [True, True]
+    assert {k: docs.sparkSession.conf.get(k) for k in common.BATCH} == before
 
 
 def test_mixing(docs, rows, none):
