@@ -79,7 +79,8 @@ def repeated_spans(ws: Workspace, docs: DataFrame, *, window: int = 50, gram: in
             for b in batches:
                 yield b.filter(pa.array(in_bitmap(wanted.value, np.asarray(b["doc_id"].fill_null(-1)))))
 
-        return docs.mapInArrow(run, docs.schema).withColumnRenamed("doc_id", "id").join(ids, "id")
+        # joined by a shuffle, so that this step and the next are not two Python workers in one task
+        return docs.mapInArrow(run, docs.schema).withColumnRenamed("doc_id", "id").join(ids.hint("merge"), "id")
 
     def windows(batches):
         for b in slices(batches):

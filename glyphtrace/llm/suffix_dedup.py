@@ -137,7 +137,8 @@ def repeated_starts(ws: Workspace, docs: DataFrame, *, unit: str = "bytes", wind
             for b in batches:
                 yield b.filter(pa.array(in_bitmap(wanted.value, np.asarray(b["id"]))))
 
-        return docs.mapInArrow(run, docs.schema).join(ids, "id")
+        # joined by a shuffle, so that this step and the next are not two Python workers in one task
+        return docs.mapInArrow(run, docs.schema).join(ids.hint("merge"), "id")
 
     def classes_of(b):
         u = Units(b["text"], unit)
