@@ -679,3 +679,9 @@ def test_mixing_draws_documents_without_ids(spark):
     got = [r for r in mixing.mix_sources(df, weights=(1.0, 20.0), share=0.1, most=1.0).collect() if r["doc_id"] is None]
     assert len(got) == 40 and 0 < got[0]["target"] < got[0]["source_size"]
     assert abs(sum(r["taken"] for r in got) - got[0]["target"]) <= 3.5 and sum(r["taken"] for r in got) > 0
+
+
+def test_mixing_plans_are_short(docs):
+    """The driver holds every plan: the mix reads the targets and the last documents taken from one written table."""
+    plan = mixing.mix(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and plan.count("HashJoin") + plan.count("MergeJoin") <= 1
