@@ -685,3 +685,27 @@ def test_mixing_plans_are_short(docs):
     """The driver holds every plan: the mix reads the targets and the last documents taken from one written table."""
     plan = mixing.mix(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan and plan.count("HashJoin") + plan.count("MergeJoin") <= 1
+
+
+def test_language_model_words_beyond_the_pairs_keep_their_part(spark):
+    """Words of a class that are not among the pair words count in the fit, and the class's probabilities add up to one."""
+    rows = ["a b"] * 40 + ["a c"] * 30 + ["a d"] * 20 + ["d b"] * 5
+    words, clusters = Words(pa.array(rows), lower=True), (np.zeros(1, np.int64), np.zeros(1, np.int64))
+    names, counts = np.unique(words.hash, return_counts=True)
+    hot = language_model._Hot(names, counts, np.zeros(len(names), np.int64), int(counts.min()), 2)
+    assert len(hot.often) == 2 and len(set(hot.classes)) == 1
+    mass = np.bincount(hot.classes, hot.counts, language_model.CLASSES)
+    ws = common.Workspace(spark)
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(3)
+    grams = language_model.gram_counts(ws, df, spark.sparkContext.broadcast(hot), clusters)
+    pairs = language_model.fit_pairs(ws, grams.filter("key < 0").select((-1 - F.col("key")).alias("key"), "n"), hot, mass, 100)
+    ws.restore()
+    t = Words(pa.array(["a a", "a b", "a c", "a d"]), lower=True)
+    place, known = hot.find(t.hash)
+    at, before, key = language_model._pair_keys(t, hot, place, known)
+    factor = np.zeros(len(t.hash))
+    factor[at] = language_model._word_factor(pairs, hot, place, at, before, key)
+    chance = (hot.counts / counts.sum())[place][1::2] * np.exp(factor[1::2])
+    assert chance.sum() == pytest.approx(1, abs=1e-5)
+    weight, total = language_model._step_pairs(np.array([45 / 190]), np.array([40.0]), np.array([90.0]), np.array([0]))
+    assert chance[1] == pytest.approx(45 / 190 * np.exp(weight[0]) / total[0], rel=1e-4)
